@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewright.llm.source_mix import HASH_BITS, MOST_COPIES, SHARE, WEIGHTS
 from tidewright.llm.quality_rules import BOILERPLATE, SYMBOLS, LineRules
 
 _RULES = LineRules()
@@ -43,5 +44,31 @@ FROM x
 """.strip()
 
 
+def source_mix(docs: str = "documents") -> str:
+    """Columns of the query op3, by sorting each source's documents by hash."""
+    n, d = SHARE
+    weights = ", ".join(map(str, WEIGHTS))
+    return f"""
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, {HASH_BITS // 4}))::BIGINT AS h FROM {docs}),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
+w AS (SELECT *, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::BIGINT AS weight FROM s),
+o AS (SELECT *, row_number() OVER q AS pos, (sum(source_size) OVER ())::BIGINT AS total,
+    (sum(source_size) OVER (q ROWS UNBOUNDED PRECEDING))::BIGINT - source_size AS before,
+    (sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weight_left
+  FROM w WINDOW q AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)),
+f AS (SELECT *, {n} * total - {d * MOST_COPIES} * before AS left_over FROM o),
+p AS (SELECT *, {d * MOST_COPIES} * source_size * weight_left > weight * left_over AS open FROM f),
+u AS (SELECT left_over AS u_left, weight_left AS u_weight, pos AS u_at FROM p WHERE open ORDER BY pos LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN u_at IS NULL OR pos < u_at THEN ({MOST_COPIES} * source_size)::DOUBLE
+    ELSE (u_left * weight)::DOUBLE / ({d} * u_weight)::DOUBLE END AS target FROM p LEFT JOIN u ON true),
+k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS whole FROM t),
+c AS (SELECT b.*, k.source_size, k.target, k.whole, k.target - k.whole * k.source_size AS budget,
+    (sum(size) OVER (PARTITION BY b.source ORDER BY h))::BIGINT AS upto, (sum(size) OVER (PARTITION BY b.source, h))::BIGINT AS here
+  FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, source, size, source_size, target, (whole + CASE WHEN size > 0 AND 2 * (upto - here) + here < 2 * budget THEN 1 ELSE 0 END)::BIGINT * size AS taken FROM c
+""".strip()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules()}
+    return {"op3_source_mix": source_mix(), "op5_quality_rules": quality_rules()}
