@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import quality_rules, source_mix
+from tidewright.llm import bpe, quality_rules, source_mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,5 +21,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_quality(_read(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def tokenizer_path() -> str:
+    """The file of the public tokenizer; every machine has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op5_quality_rules)}
+    return {f.__name__: f for f in (op3_source_mix, op5_quality_rules, op8_bpe)}
