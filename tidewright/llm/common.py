@@ -48,3 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a few numbers each up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcasting if a count proves it small; otherwise Spark joins it by shuffling.
+
+    For tables that are already written (see ``cut``) and whose rows are a few numbers wide.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, quality_rules, source_mix
+from tidewright.llm import bpe, ngram_join, quality_rules, source_mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.plan_mix(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_quality(_read(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -33,4 +37,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op5_quality_rules, op8_bpe)}
+    return {f.__name__: f for f in (op3_source_mix, op4_ngram_join, op5_quality_rules, op8_bpe)}
