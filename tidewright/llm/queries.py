@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, ngram_join, quality_rules, source_mix, topk_search
+from tidewright.llm import bpe, ngram_join, quality_rules, secret_scan, source_mix, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents")).drop("masked", "n_added")
+
+
 def tokenizer_path() -> str:
     """The file of the public tokenizer; every machine has it at the same place."""
     import public_tokenizers
@@ -42,4 +46,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op8_bpe)}
+    return {f.__name__: f for f in (op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe)}
