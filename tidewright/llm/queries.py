@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, ngram_join, quality_rules, secret_scan, source_mix, topk_search
+from tidewright.llm import bpe, license_scan, ngram_join, quality_rules, secret_scan, source_mix, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,5 +45,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe)}
+    return {f.__name__: f for f in (op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe, op10_license_scan)}
