@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, html_extract, license_scan, ngram_join, quality_rules, secret_scan, source_mix, topk_search
+from tidewright.llm import bpe, html_extract, license_scan, ngram_join, quality_classifier, quality_rules, secret_scan, source_mix, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
@@ -54,4 +59,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_extract, op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe, op10_license_scan)}
