@@ -23,12 +23,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidewright.llm.common import col
+from tidewright.llm.common import col, map_texts
 
 #: Words (between white space) and pieces whose encodings a Python worker keeps; a table is emptied when it is full.
 MEMO_WORDS = 400_000
@@ -66,10 +66,8 @@ class BpeEncoder:
         self.shown |= {i: t for t, i in self.special.items()}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(_split_pattern(spec))
-        # letters and digits by newer tables than the tokenizer's, which takes these code points for unassigned
-        newer = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn"]
-        self.newer = dict.fromkeys(map(ord, newer), "\ue000")
-        self.first_newer = min(newer, default=None)
+        self.newer, self.lowered = _table_differences(path, self.pieces)
+        self.first_newer = chr(min([*self.newer, *self.lowered], default=0x110000 - 1))
         self.chars = _byte_chars()
         self.token_of = {i: t for t, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
@@ -181,9 +179,10 @@ class BpeEncoder:
                 yield self.special[part], []
             elif part:
                 part = normalised(part)
-                if part.isascii() or self.first_newer is None or max(part) < self.first_newer:
+                if part.isascii() or max(part) < self.first_newer:
                     yield None, self.pieces.findall(part)
                 else:
+                    part = part.translate(self.lowered)
                     yield None, [part[m.start() : m.end()] for m in self.pieces.finditer(part.translate(self.newer))]
 
     def pieces_of(self, text: str) -> list[tuple[str, int, str]]:
@@ -236,6 +235,26 @@ def _split_pattern(spec: dict) -> str:
     return pattern.replace(r"[^\s", "[^" + _UNICODE_SPACE)
 
 
+def _table_differences(path: str, pieces: regex.Pattern) -> tuple[dict[int, str], dict[int, str]]:
+    """Where the tokenizer's Unicode tables differ from those here, among code points unassigned in Python's.
+
+    Code points that split otherwise, mapped to a private one that is neither letter nor digit; and those with another
+    lower case, mapped to it.
+    """
+    library = Tokenizer.from_file(path)
+    split, lowered = {}, {}
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    for c in regex.findall(r"[\p{L}\p{N}]", every):
+        if unicodedata.category(c) == "Cn":
+            other = library.normalizer.normalize_str(c)
+            if other != normalised(c):
+                lowered[ord(c)] = other
+            ends = [b for _, (_, b) in library.pre_tokenizer.pre_tokenize_str("a" + c)]
+            if ends != [m.end() for m in pieces.finditer("a" + c)]:
+                split[ord(c)] = "\ue000"
+    return split, lowered
+
+
 def normalised(text: str) -> str:
     """NFC, then each character in lower case by itself (a final sigma is not special)."""
     if not text.isascii():
@@ -256,31 +275,41 @@ def encoder(path: str) -> BpeEncoder:
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of the text decoded from them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(path)
-        for batch in batches:
+
+        def run(texts: list[str | None]) -> tuple[list, ...]:
             ns, a, b = [], [], []
-            for text in batch["text"]:
-                parts = enc.encoded(text) if isinstance(text, str) and text else []
+            for text in texts:
+                parts = enc.encoded(text) if text else []
                 ids, n, tokens = zip(*parts, strict=True) if parts else ((), (), ())
                 ns.append(sum(n))
                 a.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(" ".join(tokens).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": pd.Series(ns, dtype="int64"), "ids_sha256": pd.Series(a, dtype="object"), "decoded_sha256": pd.Series(b, dtype="object")})
+            return ns, a, b
+
+        return run
 
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(slim, "text", make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", ["doc_id"])
 
 
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, ids, decoded``."""
+    """Per row ``doc_id, n_tokens, ids, decoded``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(path)
-        for batch in batches:
-            ids = [enc.encode(t) if isinstance(t, str) else [] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [enc.decode(i) for i in ids]})
+
+        def run(texts: list[str | None]) -> tuple[list, ...]:
+            ns, ids, decoded = [], [], []
+            for text in texts:
+                parts = enc.encoded(text) if text else []
+                ns.append(sum(p[1] for p in parts))
+                ids.append(np.fromstring(" ".join([p[0] for p in parts]), np.int32, sep=" ") if parts else np.empty(0, np.int32))
+                decoded.append(" ".join([p[2] for p in parts]))
+            return ns, ids, decoded
+
+        return run
 
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return slim.mapInPandas(run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids array<int>, decoded string")
+    return map_texts(slim, "text", make, "n_tokens bigint, ids array<int>, decoded string", ["doc_id"])

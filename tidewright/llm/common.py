@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: White space in the sense of the contracts: blank, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -60,3 +64,25 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     For tables that are already written (see ``cut``) and whose rows are a few numbers wide.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], Sequence[Iterable]]], added: str, keep: Sequence[str]) -> DataFrame:
+    """``df``'s columns ``keep``, as they are, and the columns ``added`` that Python makes of the texts, batch by batch.
+
+    ``make`` is called once for each task and returns the function from the texts of a batch to the values of each new
+    column.  Kept columns never leave Arrow, so that nulls and large integers stay what they are.
+    """
+    new = StructType.fromDDL(added)
+    kinds = [to_arrow_type(f.dataType) for f in new]
+    slim = df.select(*(col(c) for c in keep), col(text_col).alias(fresh(df, "_text")))
+    schema = StructType([*slim.schema.fields[:-1], *new.fields])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make()
+        for batch in batches:
+            columns = made(batch.column(batch.num_columns - 1).to_pylist())
+            fresh_ones = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh_ones], names=names)
+
+    return slim.mapInArrow(run, schema)

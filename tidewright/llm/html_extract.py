@@ -13,15 +13,13 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import col
+from tidewright.llm.common import col, map_texts
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -239,11 +237,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per page ``page_id, url, text, n_chars``."""
     tree = tree or default_tree()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = [main_text(h if isinstance(h, str) else None, tree) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": pd.Series(text, dtype="object"), "n_chars": pd.Series([len(t) for t in text], dtype="int64")})
+    def run(htmls: list[str | None]) -> tuple[list, ...]:
+        text = [main_text(h, tree) for h in htmls]
+        return text, [len(t) for t in text]
 
     slim = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html"))
-    kinds = dict(slim.dtypes)
-    return slim.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return map_texts(slim, "html", lambda: run, "text string, n_chars bigint", ["page_id", "url"])

@@ -13,16 +13,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import col
+from tidewright.llm.common import col, map_texts
 
 # The phrases of the contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -159,23 +157,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     ``score`` is the best share of unchanged characters of a hit (1 for an exact one, 0 without any); ``spans`` lists
     label, start, end (code points of the text) and edits of every phrase and notice.
     """
-    kind = dict(docs.select(col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         search = searcher(notices, chars_per_edit)
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                text = text if isinstance(text, str) else ""
+
+        def run(texts: list[str | None]) -> list[list]:
+            out: list[list] = [[] for _ in range(8)]
+            for text in texts:
+                text = text or ""
                 n, base, found, joined = scan_text(text, search)
                 first = joined.count(" ", 0, base[0].start) if base else None
                 last = joined.count(" ", 0, base[-1].start) if base else None
                 score = max((1 - h.edits / h.length for h in base + found), default=0.0)
                 spans = [{"label": s[0], "start": s[1], "end": s[2], "edits": s[3]} for s in source_spans(text, joined, base + found)]
-                out.append((n, len(base), first, last, ",".join(sorted({h.label for h in base})), ",".join(sorted({h.label for h in base + found})), max(0.0, score), spans))
-            made = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-            made[["first_word", "last_word"]] = made[["first_word", "last_word"]].astype("Int64")
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), made], axis=1)
+                row = (n, len(base), first, last, ",".join(sorted({h.label for h in base})), ",".join(sorted({h.label for h in base + found})), max(0.0, score), spans)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            return out
+
+        return run
 
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return slim.mapInPandas(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,start:int,end:int,edits:int>>")
+    added = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,start:int,end:int,edits:int>>"
+    return map_texts(slim, "text", make, added, ["doc_id"])

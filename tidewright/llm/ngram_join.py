@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded, col, cut, fresh
+from tidewright.llm.common import bounded, col, cut, fresh, map_texts
 
 #: Words of an n-gram, and the similarity from which two texts are linked.
 N, SIMILARITY = 5, 0.8
@@ -238,26 +238,16 @@ def _compare(similarity: float):
 def _nodes(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, th, text`` -> ``doc_id, th, k, n, bands`` for each row; k is null for a text without words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            k, size, hashes = [], [], []
-            for text in batch["text"]:
-                grams = gram_set(text, n) if isinstance(text, str) else ()
-                k.append(_set_key(grams) if len(grams) else None)
-                size.append(len(grams))
-                hashes.append(band_hashes(grams, bands, rows) if len(grams) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "k": pd.array(k, dtype="Int64"), "n": pd.Series(size, dtype="int64"), "bands": pd.Series(hashes, dtype="object")})
-
-    return docs.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, th bigint, k bigint, n bigint, bands array<bigint>")
-
+    def run(texts: list[str | None]) -> tuple[list, ...]:
+        k, size, hashes = [], [], []
+        for text in texts:
+            grams = gram_set(text, n) if text else ()
+            k.append(_set_key(grams) if len(grams) else None)
+            size.append(len(grams))
+            hashes.append(band_hashes(grams, bands, rows) if len(grams) else None)
+        return k, size, hashes
 
-def _sets(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["grams"] = [gram_set(t, n).tobytes() for t in batch["text"]]
-            yield batch.drop(columns=["text"])
-
-    return run
+    return map_texts(docs, "text", lambda: run, "k bigint, n bigint, bands array<bigint>", ["doc_id", "th"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -278,7 +268,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     dealt = members.join(sums, "root").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
     dealt = bounded(cut(dealt))
     found = slim.join(dealt, slim["doc_id"].eqNullSafe(dealt["rep_id"]) & (slim["th"] == dealt["rep_th"])).select("root", "k", "chunk", "chunks", "copies", "text")
-    with_sets = found.mapInPandas(_sets(n), "root bigint, k bigint, chunk int, chunks int, copies bigint, grams binary")
+    with_sets = map_texts(found, "text", lambda: lambda texts: [[gram_set(t, n).tobytes() for t in texts]], "grams binary", ["root", "k", "chunk", "chunks", "copies"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     blocks = with_sets.withColumn("other", other).select("root", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "k", "chunk", "copies", "grams")
     blocks = blocks.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj")

@@ -14,16 +14,14 @@ one id count as the smallest; null labels and ids are left out; with no rows of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import col
+from tidewright.llm.common import col, map_texts
 
 #: Labelled texts of each label that the classifier is fitted on, and the longest text that is taken for it.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
@@ -154,12 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, held_out, score, predicted, difference``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         packer = model.packer() if model.weights is not None else None
-        for batch in batches:
-            x = np.array([packer.features(t if isinstance(t, str) else None) if packer else [0.0, 0.25, 0.25] for t in batch["text"]]).reshape(-1, 3)
+
+        def run(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+            x = np.array([packer.features(t) if packer else [0.0, 0.25, 0.25] for t in texts]).reshape(-1, 3)
             s = model.scores(x)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": s, "predicted": (s >= 0.5).astype("int32"), "difference": x[:, 0]})
+            return s, (s >= 0.5).astype("int32"), x[:, 0]
+
+        return run
 
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    return slim.mapInPandas(run, f"doc_id {dict(slim.dtypes)['doc_id']}, held_out boolean, score double, predicted int, difference double")
+    return map_texts(slim, "text", make, "score double, predicted int, difference double", ["doc_id", "held_out"])

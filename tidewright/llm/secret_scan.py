@@ -20,10 +20,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import col
+from tidewright.llm.common import col, fresh, map_texts
 
 #: Labelled lines that the field is trained on.
 TRAINING_LINES = 1600
@@ -362,31 +361,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     """Per row ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, masked``."""
     field = field or default_field()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                text = text if isinstance(text, str) else ""
-                spans = all_spans(text, field)
-                n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-                base = written([s for s in spans if s[1] < 3])
-                out.append((*n[:3], hashlib.sha256(base.encode()).hexdigest(), written(spans), n[3], masked(text, spans)))
-            made = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "masked"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), made], axis=1)
+    def run(texts: list[str | None]) -> list[list]:
+        out: list[list] = [[] for _ in range(7)]
+        for text in texts:
+            text = text or ""
+            spans = all_spans(text, field)
+            n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+            base = written([s for s in spans if s[1] < 3])
+            for column, value in zip(out, (*n[:3], hashlib.sha256(base.encode()).hexdigest(), written(spans), n[3], masked(text, spans)), strict=True):
+                column.append(value)
+        return out
 
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return slim.mapInPandas(run, f"doc_id {dict(slim.dtypes)['doc_id']}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint, masked string")
+    return map_texts(slim, "text", lambda: run, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint, masked string", ["doc_id"])
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", field: SecretField | None = None) -> DataFrame:
     """``docs`` with every secret in the text replaced by MASK; null texts stay null."""
     field = field or default_field()
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            column = batch.iloc[:, at]
-            batch[batch.columns[at]] = [masked(t, all_spans(t, field)) if isinstance(t, str) else None for t in column]
-            yield batch
-
-    return docs.mapInPandas(run, docs.schema)
+    own = fresh(docs, "_masked")
+    run = lambda texts: [[masked(t, all_spans(t, field)) if t else t for t in texts]]
+    others = [c for c in docs.columns if c != text_col]
+    out = map_texts(docs, text_col, lambda: run, f"{own} string", others)
+    return out.select(*(col(own).alias(c) if c == text_col else col(c) for c in docs.columns))
