@@ -31,11 +31,11 @@ from tokenizers import Tokenizer
 from tidewright.llm.common import col, map_texts
 
 #: Words (between white space) and pieces whose encodings a Python worker keeps; a table is emptied when it is full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 #: The longest word that is kept.
 MEMO_CHARS = 64
 #: Pairs of tokens whose compatibility a worker keeps.
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 250_000
 
 _END = ""  # stands for the word end; mapped bytes never contain it
 _NEVER = 1 << 60
