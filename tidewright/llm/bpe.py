@@ -30,8 +30,9 @@ from tokenizers import Tokenizer
 
 from tidewright.llm.common import col, map_texts
 
-#: Words (between white space) and pieces whose encodings a Python worker keeps; a table is emptied when it is full.
-MEMO_WORDS = 120_000
+#: Words (between white space) and pieces whose encodings a Python worker keeps: the latest so many, and the generation
+#: before, from which words that come up again are taken over.
+MEMO_WORDS = 80_000
 #: The longest word that is kept.
 MEMO_CHARS = 64
 #: Pairs of tokens whose compatibility a worker keeps.
@@ -74,11 +75,17 @@ class BpeEncoder:
         for t, i in self.ids.items():
             self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
+        self.texts = {i: str(i) for i in self.shown}
+        #: Whether a token may follow: by the token before, and at the start of a word.
+        self.after: dict[int, dict[int, bool]] = {}
+        self.first: dict[int, bool] = {}
+        self.pairs = 0
         self.spines: dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
         self.made_by = {made: (rank, a, b) for (a, b), (rank, made) in self.ranks.items()}
         self.memo: dict[str, tuple[str, int, str]] = {}
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.old_memo: dict[str, tuple[str, int, str]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
 
     def symbols(self, text: str) -> list[int]:
         """Ids of the single characters; the word end belongs to the last one."""
@@ -125,50 +132,61 @@ class BpeEncoder:
                     return False
         return True
 
-    def fit(self, a: int, b: int) -> bool:
-        if len(self.fits) >= MEMO_PAIRS:
-            self.fits.clear()
-        known = self.fits[a << 32 | b] = self.compatible(a, b)
-        return known
+    def fit(self, before: int, token: int, row: dict[int, bool]) -> bool:
+        """Decides and stores whether ``token`` may follow ``before`` (-1: the start); ``row`` holds what is known of that."""
+        if self.pairs >= MEMO_PAIRS:
+            for known in [self.first, *self.after.values()]:
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        row[token] = fits = self.merged(self.token_of[token]) == [token] if before < 0 else self.compatible(before, token)
+        return fits
 
     def encode_word(self, piece: str) -> list[int]:
         """Ids of one piece of a text, by the last token of every prefix."""
-        chars = self.chars
-        text = "".join([chars[b] for b in piece.encode("utf-8", "surrogatepass")]) + _END
-        last = [-1] * (len(text) + 1)
-        size = [0] * (len(text) + 1)
-        fits, fit = self.fits, self.fit
-        for end, (n, token) in self.automaton.iter(text):
-            end += 1
-            if last[end] >= 0:
-                continue
-            start = end - n
-            if start == 0:
-                if self.whole(token):
-                    last[end], size[end] = token, n
-            elif (before := last[start]) >= 0:
-                known = fits.get(before << 32 | token)
-                if known or known is None and fit(before, token):
-                    last[end], size[end] = token, n
-        out, at = [], len(text)
+        if piece.isalnum() and piece.isascii():
+            text = piece + _END
+        else:
+            chars = self.chars
+            text = "".join([chars[b] for b in piece.encode("utf-8", "surrogatepass")]) + _END
+        n_chars = len(text)
+        last = [-1] * (n_chars + 1)
+        size = [0] * (n_chars + 1)
+        # what may follow each prefix whose last token is known
+        rows: list[dict[int, bool] | None] = [None] * (n_chars + 1)
+        rows[0] = self.first
+        after = self.after
+        for at, (n, token) in self.automaton.iter(text):
+            end = at + 1
+            if rows[end] is None:
+                row = rows[end - n]
+                if row is not None:
+                    fits = row.get(token)
+                    if fits is None:
+                        fits = self.fit(last[end - n], token, row)
+                    if fits:
+                        last[end] = token
+                        size[end] = n
+                        following = after.get(token)
+                        if following is None:
+                            following = after[token] = {}
+                        rows[end] = following
+        out, at = [], n_chars
         while at:
             out.append(last[at])
             at -= size[at]
-        return out[::-1]
-
-    def whole(self, token: int) -> bool:
-        """Whether merging the token's own characters gives the token."""
-        known = self.fits.get(-1 - token)
-        if known is None:
-            known = self.fits[-1 - token] = self.merged(self.token_of[token]) == [token]
-        return known
+        out.reverse()
+        return out
 
     def _entry(self, piece: str) -> tuple[str, int, str]:
-        ids = self.encode_word(piece)
-        entry = (" ".join(map(str, ids)), len(ids), " ".join([self.shown[i] for i in ids]))
+        entry = self.old_memo.get(piece)
+        if entry is None:
+            ids = self.encode_word(piece)
+            texts, shown = self.texts, self.shown
+            entry = (" ".join([texts[i] for i in ids]), len(ids), " ".join([shown[i] for i in ids]))
         if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
+                self.memo, self.old_memo = {}, self.memo
             self.memo[piece] = entry
         return entry
 
@@ -188,20 +206,28 @@ class BpeEncoder:
     def pieces_of(self, text: str) -> list[tuple[str, int, str]]:
         """(ids, number of ids, tokens) of each piece; ids and tokens joined by a blank."""
         out: list[tuple[str, int, str]] = []
-        memo, entry = self.memo, self._entry
         for special, pieces in self.split(text):
             if special is not None:
                 out.append((str(special), 1, self.shown[special]))
             else:
-                out += [memo.get(p) or entry(p) for p in pieces]
+                out += [self.memo.get(p) or self._entry(p) for p in pieces]
         return out
 
     def _word(self, word: str) -> tuple[str, int, str]:
-        parts = self.pieces_of(word)
-        made = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+        made = self.old_words.get(word)
+        if made is None:
+            stem, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+            low = normalised(stem)
+            if stem.isalpha() and low.isalpha():  # letters and at most one mark, as most words are
+                parts = [self.memo.get(low) or self._entry(low)]
+                if tail:
+                    parts.append(self.memo.get(tail) or self._entry(tail))
+            else:
+                parts = self.pieces_of(word)
+            made = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         if len(word) <= MEMO_CHARS:
             if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
+                self.words, self.old_words = {}, self.words
             self.words[word] = made
         return made
 
@@ -212,8 +238,7 @@ class BpeEncoder:
         words = text.split()
         found = list(map(self.words.get, words))
         if None in found:
-            known, word = self.words, self._word
-            found = [e or known.get(w) or word(w) for e, w in zip(found, words, strict=True)]
+            found = [e or self.words.get(w) or self._word(w) for e, w in zip(found, words, strict=True)]
         return found
 
     def encode(self, text: str) -> list[int]:
