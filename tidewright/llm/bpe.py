@@ -319,8 +319,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return map_texts(slim, "text", make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", ["doc_id"])
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_tokens, ids, decoded``."""
+def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """Per row ``doc_id, n_tokens, ids, decoded``; ``decoded`` is null without ``decode``."""
 
     def make():
         enc = encoder(path)
@@ -331,7 +331,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 parts = enc.encoded(text) if text else []
                 ns.append(sum(p[1] for p in parts))
                 ids.append(np.fromstring(" ".join([p[0] for p in parts]), np.int32, sep=" ") if parts else np.empty(0, np.int32))
-                decoded.append(" ".join([p[2] for p in parts]))
+                decoded.append(" ".join([p[2] for p in parts]) if decode else None)
             return ns, ids, decoded
 
         return run

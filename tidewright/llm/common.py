@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -66,6 +67,20 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Bytes of text that a Python worker turns into objects at once; a longer text is taken alone.
+SLICE_BYTES = 2 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose last column holds about SLICE_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    start = 0
+    while start < batch.num_rows:
+        end = start + max(1, int(sizes[start:].cumsum().searchsorted(SLICE_BYTES)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], Sequence[Iterable]]], added: str, keep: Sequence[str]) -> DataFrame:
     """``df``'s columns ``keep``, as they are, and the columns ``added`` that Python makes of the texts, batch by batch.
 
@@ -80,9 +95,10 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
-        for batch in batches:
-            columns = made(batch.column(batch.num_columns - 1).to_pylist())
-            fresh_ones = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh_ones], names=names)
+        for whole in batches:
+            for batch in _slices(whole):
+                columns = made(batch.column(batch.num_columns - 1).to_pylist())
+                fresh_ones = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh_ones], names=names)
 
     return slim.mapInArrow(run, schema)
