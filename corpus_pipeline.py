@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document of the mix."""
-    return bpe.encode_ids(docs, tokenizer_path()).drop("decoded")
+    return bpe.encode_ids(docs, tokenizer_path(), decode=False).drop("decoded")
 
 
 STAGES = [
