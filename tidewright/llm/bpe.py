@@ -32,7 +32,7 @@ from tidewright.llm.common import col, map_texts
 
 #: Words (between white space) and pieces whose encodings a Python worker keeps: the latest so many, and the generation
 #: before, from which words that come up again are taken over.
-MEMO_WORDS = 80_000
+MEMO_WORDS = 150_000
 #: The longest word that is kept.
 MEMO_CHARS = 64
 #: Pairs of tokens whose compatibility a worker keeps.
