@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, html_extract, license_scan, ngram_join, quality_classifier, quality_rules, secret_scan, source_mix, topk_search
+from tidewright.llm import bpe, html_extract, license_scan, ngram_join, quality_classifier, quality_rules, secret_scan, source_mix, token_store, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,9 +54,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_extract, op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_extract, op3_source_mix, op4_ngram_join, op5_quality_rules, op6_topk_search, op7_secret_scan, op8_bpe, op9_token_store, op10_license_scan)}
