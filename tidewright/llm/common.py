@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: White space in the sense of the contracts: blank, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -89,9 +89,10 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
     """
     new = StructType.fromDDL(added)
     kinds = [to_arrow_type(f.dataType) for f in new]
-    slim = df.select(*(col(c) for c in keep), col(text_col).alias(fresh(df, "_text")))
-    schema = StructType([*slim.schema.fields[:-1], *new.fields])
-    names = [f.name for f in schema]
+    # plain names in between: Spark doesn't take dots in names there
+    slim = df.select(*(col(c).alias(f"_c{i}") for i, c in enumerate(keep)), col(text_col).alias("_text"))
+    schema = StructType([*slim.schema.fields[:-1], *(StructField(f"_n{i}", f.dataType) for i, f in enumerate(new))])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
@@ -101,4 +102,4 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
                 fresh_ones = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh_ones], names=names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).toDF(*keep, *new.names)
