@@ -132,7 +132,8 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     out, n = judge(slim, "text", rules)
     keep = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "kept_chars", "base_failed", "kept", "cleaned")
-    return out.select("doc_id", *(F.col(n[k]).alias(k) for k in keep))
+    # a generator keeps filters on these columns from being rewritten in terms of the text, once per use
+    return out.select(F.inline(F.array(F.struct("doc_id", *(F.col(n[k]).alias(k) for k in keep)))))
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
