@@ -113,7 +113,7 @@ def filter_rows(df: DataFrame, fn: Any, *, args: Iterable = (), kwargs: Mapping
         out = []
         for at in range(0, len(rows), batch_size):
             part = rows[at : at + batch_size]
-            keep = list(f(part))
+            keep = list(f([dict(r) for r in part]))
             if len(keep) != len(part):
                 raise EngineError("a batch filter must return one boolean for each row")
             out += [r for r, k in zip(part, keep, strict=True) if k]

@@ -60,7 +60,8 @@ class SessionWindow:
             raise EngineError("a session's gap must be positive")
 
     def column(self, ts: Column) -> Column:
-        return F.session_window(ts, _ms(milliseconds(self.gap)))
+        # Spark joins events exactly a gap apart, so its gap is a microsecond less
+        return F.session_window(ts, f"{milliseconds(self.gap) * 1000 - 1} microseconds")
 
 
 def _ms(n: int) -> str:
@@ -80,7 +81,7 @@ def window_aggregate(df: DataFrame, assigner: TumblingWindow | SlidingWindow | S
     time = F.col(ts).cast("timestamp")
     if isinstance(assigner, SessionWindow):
         grouped = df.groupBy(*keys, assigner.column(time).alias("window")).agg(*(c.alias(n) for n, c in aggregates.items()))
-        grouped = grouped.withColumns({"window_start": F.unix_millis("window.start"), "window_end": F.unix_millis("window.end")})
+        grouped = grouped.withColumns({"window_start": F.unix_millis("window.start"), "window_end": F.floor((F.unix_micros("window.end") + 1) / 1000)})
         return grouped.select(*keys, "window_start", "window_end", *aggregates)
     if isinstance(assigner, SlidingWindow) and milliseconds(assigner.slide) > milliseconds(assigner.size):
         rows = assigner.assign(df, time)
