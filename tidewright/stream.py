@@ -18,12 +18,12 @@ from tidewright.streaming import changelog, keyed, run
 if TYPE_CHECKING:
     from tidewright.session import Pipeline
 
-_TUNING = ("num_cpus", "num_gpus", "concurrency", "name", "batch_timeout", "ray_serve_enabled")
+_TUNING = ("num_cpus", "num_gpus", "concurrency", "name", "batch_timeout")
 
 
 def _options(kwargs: dict) -> dict:
     """Constructor arguments under their short names; placement hints are accepted and have no effect here."""
-    out = {k: v for k, v in kwargs.items() if k not in _TUNING}
+    out = {k: v for k, v in kwargs.items() if k not in _TUNING and not k.endswith("_serve_enabled")}
     out["args"] = out.pop("fn_constructor_args", None) or out.pop("args", ())
     out["kwargs"] = out.pop("fn_constructor_kwargs", None) or out.pop("kwargs", None)
     return out
