@@ -71,7 +71,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 SLICE_BYTES = 2 << 20
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in pieces whose last column holds about SLICE_BYTES."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype("int64")
     start = 0
@@ -97,7 +97,7 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in text_slices(whole):
                 columns = made(batch.column(batch.num_columns - 1).to_pylist())
                 fresh_ones = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh_ones], names=names)

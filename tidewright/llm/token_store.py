@@ -19,7 +19,9 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded, col, cut, shared_dir
+from tidewright.llm.common import bounded, col, cut, shared_dir, text_slices
 
 #: The id after each document's ids.
 END_ID = 2
@@ -229,24 +231,26 @@ class LibraryEncoder:
         self.old: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers, END_ID last."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
-            return self._ask([text])[0] + _END
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = {w: self.old.get(w) for w, f in zip(words, found, strict=True) if f is None}
-            missing = [w for w, f in new.items() if f is None]
-            new.update(zip(missing, self._ask(missing), strict=True))
-            if len(self.known) + len(new) > MEMO_WORDS:
-                self.known, self.old = {}, self.known
-            self.known.update((w, f) for w, f in new.items() if len(w) <= 64)
-            found = [f if f is not None else new[w] for w, f in zip(words, found, strict=True)]
-        found.append(_END)
-        return b"".join(found)
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian 32-bit integers, END_ID last."""
+        # str.split takes these characters for white space, the tokenizer doesn't
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        every = set(chain.from_iterable(words))
+        missing = every.difference(self.known)
+        if len(self.known) + len(missing) > MEMO_WORDS:
+            self.known, self.old, missing = {}, self.known, every
+        ask = [w for w in missing if w not in self.old]
+        self.known.update((w, self.old[w]) for w in missing if w in self.old)
+        self.known.update(zip(ask, self._ask(ask), strict=True))
+        get = self.known.__getitem__
+        out = [(self._ask([t])[0] if o else b"".join(map(get, w))) + _END for t, w, o in zip(texts, words, odd, strict=True)]
+        for w in ask:
+            if len(w) > 64:
+                del self.known[w]
+        return out
 
 
 _END = np.array([END_ID], "<u4").tobytes()
@@ -269,11 +273,10 @@ def _write_chunks(path: str):
             row = {"part": [part], "seq": [seq], "n_tokens": [len(ids)], "docs": [docs], "lengths": [lengths], "payload": [pack_chunk(ids)]}
             return pa.RecordBatch.from_pydict(row, schema=_SCHEMA)
 
-        for batch in batches:
-            idents = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                ids = enc.encode(batch.column(1)[i].as_py() or "")
-                docs.append(idents[i])
+        for batch in (piece for whole in batches for piece in text_slices(whole)):
+            encoded = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            for ident, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                docs.append(ident)
                 lengths.append(len(ids) // 4)
                 held.append(ids)
                 size += len(ids) // 4
