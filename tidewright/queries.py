@@ -45,7 +45,7 @@ SHARED_SQL = {
     "cte_chain": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 150000), named AS (SELECT b.o_orderkey AS o_orderkey, c.c_mktsegment AS seg FROM big b JOIN customer c ON b.o_custkey = c.c_custkey) SELECT seg, COUNT(*) AS n FROM named GROUP BY seg",
     "union_all": "SELECT c_name AS name FROM customer UNION ALL SELECT s_name AS name FROM supplier",
     "set_operations": "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier) UNION SELECT r_regionkey AS k FROM region",
-    "window_over": "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders",
+    "window_over": "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place FROM orders",
     "fn_string": "SELECT p_partkey, LOWER(p_name) AS low, UPPER(p_brand) AS up, CAST(LENGTH(p_name) AS BIGINT) AS n, CONCAT(p_brand, '-', p_type) AS both_names, CONCAT_WS('/', p_brand, p_type) AS path, SUBSTRING(p_name, 2, 3) AS part, REPLACE(p_type, 'S', 'z') AS swapped, TRIM(p_name) AS trimmed, CONTAINS(p_name, 'a') AS has_a FROM part",
     "fn_numeric": "SELECT p_partkey, ABS(-p_size) AS a, CAST(CEIL(p_retailprice) AS BIGINT) AS c, CAST(FLOOR(p_retailprice) AS BIGINT) AS f, ROUND(SQRT(p_retailprice), 6) AS s, ROUND(EXP(p_size / 50.0), 6) AS e, ROUND(LN(p_retailprice), 6) AS l, CAST(SIGN(p_size - 25) AS INT) AS sg, ROUND(POWER(p_size, 2), 3) AS p, ROUND(SIN(p_size) + COS(p_size) + TAN(p_size), 5) AS trig, ROUND(p_retailprice, 1) AS r, p_partkey % 7 AS m FROM part",
     "fn_null": "SELECT event_id, COALESCE(CASE WHEN value > 50 THEN value END, -1.0) AS v, NULLIF(event_type, 'click') AS t, GREATEST(user_id, 500) AS g, LEAST(user_id, 500) AS l FROM events",
