@@ -52,7 +52,8 @@ def _byte_chars() -> list[str]:
 class BpeEncoder:
     """Ids and tokens of texts under one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        self.memo_words = memo_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -185,7 +186,7 @@ class BpeEncoder:
             texts, shown = self.texts, self.shown
             entry = (" ".join([texts[i] for i in ids]), len(ids), " ".join([shown[i] for i in ids]))
         if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
+            if len(self.memo) >= self.memo_words:
                 self.memo, self.old_memo = {}, self.memo
             self.memo[piece] = entry
         return entry
@@ -226,7 +227,7 @@ class BpeEncoder:
                 parts = self.pieces_of(word)
             made = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         if len(word) <= MEMO_CHARS:
-            if len(self.words) >= MEMO_WORDS:
+            if len(self.words) >= self.memo_words:
                 self.words, self.old_words = {}, self.words
             self.words[word] = made
         return made
@@ -287,14 +288,15 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
-_encoders: dict[str, BpeEncoder] = {}
+_encoders: dict[tuple[str, int], BpeEncoder] = {}
 
 
-def encoder(path: str) -> BpeEncoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> BpeEncoder:
     """The encoder of this process for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = BpeEncoder(path)
-    return _encoders[path]
+    key = (path, memo_words)
+    if key not in _encoders:
+        _encoders[key] = BpeEncoder(path, memo_words)
+    return _encoders[key]
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,11 +321,14 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return map_texts(slim, "text", make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", ["doc_id"])
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """Per row ``doc_id, n_tokens, ids, decoded``; ``decoded`` is null without ``decode``."""
+def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Per row ``doc_id, n_tokens, ids, decoded``; ``decoded`` is null without ``decode``.
+
+    ``memo_words`` trades a worker's memory for time.
+    """
 
     def make():
-        enc = encoder(path)
+        enc = encoder(path, memo_words)
 
         def run(texts: list[str | None]) -> tuple[list, ...]:
             ns, ids, decoded = [], [], []
