@@ -35,7 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document of the mix."""
-    return bpe.encode_ids(docs, tokenizer_path(), decode=False).drop("decoded")
+    # fewer known words than alone, as the executors' memory still holds what the stages before have touched
+    return bpe.encode_ids(docs, tokenizer_path(), decode=False, memo_words=80_000).drop("decoded")
 
 
 STAGES = [
