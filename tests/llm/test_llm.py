@@ -409,3 +409,12 @@ def test_pipeline(spark, docs):
         awkward = cut(stage(spark, awkward, sf))
         assert awkward.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, awkward, sf).count() == awkward.count()
+
+
+def test_pipeline_decodes(spark, docs):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(out) == docs.count() and all(r["decoded_sha256"] == hashlib.sha256(library.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() for r in out)

@@ -321,8 +321,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return map_texts(slim, "text", make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", ["doc_id"])
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """Per row ``doc_id, n_tokens, ids, decoded``; ``decoded`` is null without ``decode``.
+def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, memo_words: int = MEMO_WORDS, digest: bool = False) -> DataFrame:
+    """Per row ``doc_id, n_tokens, ids, decoded``; ``decoded`` is null without ``decode``; with ``digest`` it is ``decoded_sha256``, so that no decoded text leaves the worker.
 
     ``memo_words`` trades a worker's memory for time.
     """
@@ -336,10 +336,11 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 parts = enc.encoded(text) if text else []
                 ns.append(sum(p[1] for p in parts))
                 ids.append(np.fromstring(" ".join([p[0] for p in parts]), np.int32, sep=" ") if parts else np.empty(0, np.int32))
-                decoded.append(" ".join([p[2] for p in parts]) if decode else None)
+                shown = " ".join([p[2] for p in parts]) if decode else None
+                decoded.append(hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest() if digest and decode else shown)
             return ns, ids, decoded
 
         return run
 
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return map_texts(slim, "text", make, "n_tokens bigint, ids array<int>, decoded string", ["doc_id"])
+    return map_texts(slim, "text", make, f"n_tokens bigint, ids array<int>, {'decoded_sha256' if digest else 'decoded'} string", ["doc_id"])
