@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -208,6 +209,25 @@ def test_topk_search(spark, spread):
     assert topk_search.top_k(nothing, nothing).count() == 0
 
 
+def test_topk_search_of_large_components(spark):
+    rng = random.Random(12)
+    # small queries, and one that is not, whose scores fit; the last component is 0 in every query
+    rows = [(i, [rng.uniform(-1, 1) * (1 if i % 100 == 0 else 10.0 ** rng.randint(0, 7)) for _ in range(4)] + [0.0 if i % 100 == 0 else rng.choice([0.0, 7e4, 1e30, -1e300, 1.7e308])]) for i in range(400)]
+    rows += [(500, [65536.0, -65536.0, 70000.0, 1.0, 0.0]), (601, [3e6, 1.0, 0.0, 0.0, 0.0]), (602, [3e6, 1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = {i: [int(Fraction(c) * 1024 // 1) for c in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
+    assert all(abs(s) < 2**63 for *_, s in want)
+    got = topk_search.top_k(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank")
+    assert [tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()] == want
+    two = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a bigint"):
+        topk_search.top_k(two, two).collect()
+
+
 def test_secret_scan(docs, empty):
     field = secret_scan.default_field()
     out = secret_scan.scan(docs, field=field)

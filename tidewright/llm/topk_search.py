@@ -10,39 +10,47 @@ Blocks are built where the rows are, without a shuffle.  Queries are dealt into
 task row, and a block sends back k rows per query at most.
 
 Edge cases: vectors that are null, empty or hold a null, NaN or infinite component take no part, nor do rows with a null
-id or with a component so large (2^26 or more after quantising) that scores might exceed 64 bits; only vectors of equal
-length are compared; equal scores rank by the smaller id; a row that occurs several times with one id is several
+id; rows with large components (2^26 or more after quantising) have blocks of their own with as many digits as they need,
+and a score of the result that doesn't fit a bigint is an error; only vectors of equal length are compared; equal scores rank by the smaller id; a row that occurs several times with one id is several
 candidates, but no row is a candidate for a query with its own id; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import col, cut
 
 #: Rows of a block of the index, and queries of a block of queries.
 BLOCK_ROWS, QUERY_ROWS = 8192, 256
+#: Rows of a block whose components don't fit 64 bits.
+WIDE_ROWS = 512
 SCALE = 1024
 _MOST = 1 << 26
+_BIGINT = (1 << 63) - 1
 
 
-def quantised(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
+def quantised(vector: Iterable[float]) -> np.ndarray:
+    """The components as integers, of Python's kind where 64 bits might not hold them."""
+    x = np.asarray(vector, np.float64)
+    if np.abs(x).max(initial=0) < 2.0**62 / SCALE:
+        return np.floor(x * SCALE).astype(np.int64)
+    # from 2^53 on every double is an integer, and its product with SCALE might not be finite
+    return np.array([int(c) * SCALE if abs(c) >= 2.0**53 else math.floor(c * SCALE) for c in x.tolist()], object)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, x``: the quantised vectors that take part."""
+    """``vec_id, x``: the vectors that take part, as doubles."""
     v = col(vector_col)
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < _MOST / SCALE)
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, fine) & col(id_col).isNotNull()
-    rows = vectors.where(ok).select(col(id_col).cast("bigint").alias("vec_id"), v.alias("v"))
-    return rows.select("vec_id", quantised(F.col("v")).alias("x"))
+    return vectors.where(ok).select(col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("x"))
 
 
 def pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -95,7 +103,7 @@ def score_slices(slices: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
     a dimension counts negatively.  A negative term -2^w s is 2^w (not s) - 2^w; the constants are added at the end.
     """
     dims, bits, words = slices.shape
-    width = int(np.abs(query).sum()).bit_length() + bits + 1
+    width = sum(map(abs, query.tolist())).bit_length() + bits + 1
     columns: list[list[np.ndarray]] = [[] for _ in range(width)]
     constant = 0
     size = np.abs(query)
@@ -147,8 +155,11 @@ def top_rows(score: list[np.ndarray], live: np.ndarray, k: int) -> tuple[np.ndar
     return _rows(sure), _rows(tied)
 
 
-def search_block(ids: np.ndarray, slices: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, row id, score) of each query's best rows in a block; ``ids`` ascend."""
+def search_block(ids: np.ndarray, slices: np.ndarray, queries: list[np.ndarray], query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """(query id, row id, score, over) of each query's best rows in a block; ``ids`` ascend.
+
+    ``over`` is 1 or -1 for a score above or below those of 64 bits, which is given as the nearest one that fits.
+    """
     live = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
     full = np.zeros(slices.shape[2] * 8, np.uint8)
     full[: len(live)] = live
@@ -165,31 +176,35 @@ def search_block(ids: np.ndarray, slices: np.ndarray, queries: np.ndarray, query
         rows = np.concatenate([sure, tied[: max(0, k - len(sure))]]).astype(np.int64)
         if not len(rows):
             continue
-        value = np.zeros(len(rows), np.int64)
+        value = np.zeros(len(rows), np.int64 if len(score) <= 63 else object)
         for place, s in enumerate(score):
-            digit = (s[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            digit = (s[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64).astype(value.dtype)
             value += (-digit if place == len(score) - 1 else digit) << place
-        yield from zip([int(query_id)] * len(rows), ids[rows].tolist(), value.tolist(), strict=True)
+        values = value.tolist()
+        over = [(v > _BIGINT) - (v < -_BIGINT - 1) for v in values]
+        yield from zip([int(query_id)] * len(rows), ids[rows].tolist(), [min(max(v, -_BIGINT - 1), _BIGINT) for v in values], over, strict=True)
 
 
 def _index_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Packs the rows of a partition, as they come, in blocks of rows with equal length."""
-    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    # by length and kind: small components, others of 64 bits, and wider ones
+    held: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
 
-    def block(dims: int) -> pd.DataFrame:
-        rows = sorted(held.pop(dims), key=lambda r: r[0])
+    def block(key: tuple[int, int]) -> pd.DataFrame:
+        dims, rows = key[0], sorted(held.pop(key), key=lambda r: r[0])
         values = np.stack([x for _, x in rows])
         bits = digits_of(values)
         return pd.DataFrame({"dims": [dims], "bits": [bits], "ids": [np.array([i for i, _ in rows], np.int64).tobytes()], "slices": [pack(values, bits).tobytes()]})
 
     for batch in batches:
         for ident, x in zip(batch["vec_id"], batch["x"], strict=True):
-            x = np.asarray(x, np.int64)
-            held.setdefault(len(x), []).append((int(ident), x))
-            if len(held[len(x)]) == BLOCK_ROWS:
-                yield block(len(x))
-    for dims in list(held):
-        yield block(dims)
+            x = quantised(x)
+            key = len(x), 2 if x.dtype == object else int(np.abs(x).max() >= _MOST)
+            held.setdefault(key, []).append((int(ident), x))
+            if len(held[key]) == (WIDE_ROWS if key[1] == 2 else BLOCK_ROWS):
+                yield block(key)
+    for key in list(held):
+        yield block(key)
 
 
 def _search(k: int):
@@ -199,9 +214,9 @@ def _search(k: int):
                 ids = np.frombuffer(ids, np.int64)
                 slices = np.frombuffer(slices, np.uint64).reshape(dims, bits, -1)
                 query_ids = np.array([q["vec_id"] for q in queries], np.int64)
-                values = np.array([q["x"] for q in queries], np.int64)
+                values = [quantised(q["x"]) for q in queries]
                 out = list(search_block(ids, slices, values, query_ids, k))
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "over"]).astype("int64")
 
     return run
 
@@ -213,6 +228,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part", F.size("x").alias("dims")).agg(F.collect_list(F.struct("vec_id", "x")).alias("queries"))
     blocks = usable(index, id_col, vector_col).mapInPandas(_index_blocks, "dims int, bits int, ids binary, slices binary")
     pairs = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["part", "dims"])
-    found = pairs.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint, over bigint")
+    order = Window.partitionBy("query_id").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("op6: a score does not fit a bigint")).cast("bigint"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
