@@ -406,6 +406,17 @@ def test_quality_classifier(spark, words, docs, empty):
     assert {r["score"] for r in quality_classifier.score(docs, none).collect()} == {0.5}
 
 
+def test_license_notices_side_by_side():
+    search = license_scan.searcher()
+    exact = "licensed under the mit license"
+    for parts in (["licensed undr the mit licensee", exact], [exact, "licensed undr the mit licensee"], ["licensed undr the mit licensee", exact, "licensd under the mit license"], [exact] * 3):
+        joined = " ".join(parts)
+        found = [h for h in search.hits(joined) if h.length == len(exact)]
+        places = [joined.find(p, sum(len(q) + 1 for q in parts[:k])) for k, p in enumerate(parts)]
+        assert len(found) == len(parts) and all(abs(h.start - p) <= 2 for h, p in zip(found, places, strict=True))
+        assert min(h.edits for h in found) == 0
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

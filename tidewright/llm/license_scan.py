@@ -101,10 +101,14 @@ class NoticeSearch:
                     mine.append([lo, hi])
         out = []
         for at, places in windows.items():
-            text, label, _, pattern = self.notices[at]
-            for lo, hi in places:
-                for m in pattern.finditer(joined, lo, min(hi, len(joined))):
+            text, label, edits, pattern = self.notices[at]
+            # the best match of a window first, then those in what is left before and after it
+            left = [(lo, min(hi, len(joined))) for lo, hi in places]
+            while left:
+                lo, hi = left.pop()
+                if hi - lo >= len(text) - edits and (m := pattern.search(joined, lo, hi)):
                     out.append(Hit(label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
+                    left += [(lo, m.start()), (m.end(), hi)]
         return sorted(out, key=lambda h: (h.start, h.end, h.label))
 
 
