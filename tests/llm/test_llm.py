@@ -257,6 +257,16 @@ def test_secret_field_on_new_lines():
     assert found >= 0.95 * total and wrong <= 0.05 * total
 
 
+def test_secret_field_looks_three_words_back():
+    field = secret_scan.default_field()
+    for gap in (" ", " " * 200, f" {'x' * 300} ", f" {'x' * 90} {'y' * 90} "):
+        text = f"password{gap}qwertzuiopasdf"
+        start = text.index("qwertz")
+        assert secret_scan._words_before(text, start) == text[:start].split()[-3:]
+    near, far = (f'set password ={gap}"kf7Ghs82mQpz41Lw" now' for gap in (" ", " " * 200))
+    assert [near[a:b] for a, b in field.spans(near)] == [far[a:b] for a, b in field.spans(far)] != []
+
+
 def test_viterbi_is_the_best_path():
     field = secret_scan.default_field()
     for line, _ in secret_scan.training_lines(60, seed=8):

@@ -197,7 +197,13 @@ def _word_start(text: str, p: int) -> int:
 
 
 def _words_before(text: str, start: int) -> list[str]:
-    return text[max(0, start - 120) : start].split()[-3:]
+    """The three words before ``start``, whole however long they or the gaps between them are."""
+    size = 120
+    while True:
+        words = text[max(0, start - size) : start].split()
+        if size >= start or len(words) > 3:
+            return words[-3:]
+        size *= 2
 
 
 def _key_or_digit(text: str) -> Iterator[int]:
