@@ -6,10 +6,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import bpe, ngram_join, quality_rules, secret_scan, source_mix
-from tidewright.llm.common import cut
+from tidewright.llm.common import shared_dir
 from tidewright.llm.queries import tokenizer_path
 
 
@@ -52,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder for the next."""
+    """All stages over ``documents``; what a stage keeps is written as Parquet below the shared checkpoint folder and read by the next."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
+        if k:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+        docs = stage(spark, docs, sf_dir)
     return docs

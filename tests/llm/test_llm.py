@@ -459,3 +459,18 @@ def test_pipeline_decodes(spark, docs):
     library = Tokenizer.from_file(TOKENIZER)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert len(out) == docs.count() and all(r["decoded_sha256"] == hashlib.sha256(library.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() for r in out)
+
+
+def test_pipeline_writes_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    sf = "/root/testdata/sf0.001"
+    assert corpus_pipeline.run(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(files and all(f.endswith(".parquet") for f in files) for files in read) and len({tuple(files) for files in read}) == 3
