@@ -16,7 +16,7 @@ from tidewright.llm.queries import tokenizer_path
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep."""
+    """Documents that the line-first rules keep, with their whole text: only the verdict on a document takes effect here."""
     return quality_rules.keep_clean(docs)
 
 

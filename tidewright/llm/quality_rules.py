@@ -137,7 +137,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs`` as they are."""
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs`` as they are: failing lines stay in the text."""
     out, n = judge(docs, text_col, rules)
     # as a filter, the optimizer would write the whole computation into the condition, once per use; a generator stays apart
     once = F.explode(F.when(F.col(n["kept"]), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias(fresh(out, "_q_once"))
