@@ -55,6 +55,11 @@ def test_query_matches_duckdb(spark, duck, name):
     assert got == sorted(repr([_plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
 
 
+def test_stream_join_of_growing_tables(spark, duck):
+    got = engine_queries.queries()["stream_join_orders"](spark, SF).select("o_orderkey", "c_name").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(engine_queries.oracle_sql()["stream_join_orders"]).fetchall())
+
+
 def test_null_logic_and_names(p):
     events = p.from_items([{"id": 1, "score": 5, "ok": True}, {"id": 2, "score": None, "ok": None}, {"id": 3, "score": 1, "ok": False}])
     rows = p.sql("SELECT id, score > 2 AND ok AS both, score > 2 OR ok AS one, id IN (1, NULL) AS inside FROM events").collect()

@@ -210,6 +210,15 @@ def stream_join_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.materialise(run.drain(changes)).select("n_name", "r_name")
 
 
+def stream_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changelog join over tables that grow: the orders of a customer gather under one key."""
+    run.use_rocksdb(spark)
+    table = lambda t: spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{t}.parquet").schema).parquet(f"{sf_dir}/{t}.parquet*")
+    orders, customers = table("orders").select("o_orderkey", "o_custkey"), table("customer").select("c_custkey", "c_name")
+    changes = changelog.join_changes(orders, customers, ["o_custkey"], ["c_custkey"])
+    return ops.materialise(run.drain(changes)).select("o_orderkey", "c_name")
+
+
 def stream_topn_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.use_rocksdb(spark)
     rows = _event_stream(spark, sf_dir).select("event_id", (F.col("value") * 1000000 + F.col("event_id")).alias("score"))
@@ -280,6 +289,7 @@ _PYTHON: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "stream_agg_materialized": (stream_agg_materialized, "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users_sum, min(value) AS low, max(value) AS high FROM events GROUP BY event_type"),
     "stream_agg_retract": (stream_agg_retract, "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users_sum, min(value) AS low, max(value) AS high FROM events WHERE event_id % 2 = 0 GROUP BY event_type"),
     "stream_join_materialized": (stream_join_materialized, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "stream_join_orders": (stream_join_orders, "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
     "stream_topn_materialized": (stream_topn_materialized, "SELECT event_id FROM events ORDER BY value * 1000000 + event_id DESC LIMIT 10"),
     "keyed_running_total": (keyed_running_total, "SELECT event_id, user_id, round(sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM events"),
     "canal_replay": (canal_replay, "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || '*' ELSE c_name END AS name FROM customer WHERE c_custkey % 5 <> 0"),
