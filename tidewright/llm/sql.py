@@ -51,7 +51,7 @@ def source_mix(docs: str = "documents") -> str:
     weights = ", ".join(map(str, WEIGHTS))
     return f"""
 WITH b AS (SELECT row_number() OVER () AS rid, doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, {HASH_BITS // 4}))::BIGINT AS h FROM {docs}),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, {HASH_BITS // 4}))::BIGINT AS h FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
 w AS (SELECT *, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::BIGINT AS weight FROM s),
 o AS (SELECT *, row_number() OVER q AS pos, (sum(source_size) OVER ())::BIGINT AS total,
@@ -65,9 +65,10 @@ t AS (SELECT source, source_size, CASE WHEN u_at IS NULL OR pos < u_at THEN ({MO
     ELSE (u_left * weight)::DOUBLE / ({d} * u_weight)::DOUBLE END AS target FROM p LEFT JOIN u ON true),
 k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS whole FROM t),
 c AS (SELECT b.*, k.source_size, k.target, k.whole, k.target - k.whole * k.source_size AS budget,
-    (sum(size) OVER (PARTITION BY b.source ORDER BY h))::BIGINT AS upto, (sum(size) OVER (PARTITION BY b.source, h))::BIGINT AS here
+    (sum(size) OVER (PARTITION BY b.source ORDER BY h))::BIGINT AS upto, (sum(size) OVER (PARTITION BY b.source, h))::BIGINT AS here,
+    count(*) OVER (PARTITION BY b.source, h) AS n, row_number() OVER (PARTITION BY b.source, h ORDER BY rid) AS place
   FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source)
-SELECT doc_id, source, size, source_size, target, (whole + CASE WHEN size > 0 AND 2 * (upto - here) + here < 2 * budget THEN 1 ELSE 0 END)::BIGINT * size AS taken FROM c
+SELECT doc_id, source, size, source_size, target, (whole + CASE WHEN size > 0 AND place <= ceil((budget - (upto - here)) * n / here - 0.5) THEN 1 ELSE 0 END)::BIGINT * size AS taken FROM c
 """.strip()
 
 
