@@ -71,12 +71,12 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 SLICE_BYTES = 2 << 20
 
 
-def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces whose last column holds about SLICE_BYTES."""
+def text_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose last column holds about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype("int64")
     start = 0
     while start < batch.num_rows:
-        end = start + max(1, int(sizes[start:].cumsum().searchsorted(SLICE_BYTES)))
+        end = start + max(1, int(sizes[start:].cumsum().searchsorted(most)))
         yield batch.slice(start, end - start)
         start = end
 
