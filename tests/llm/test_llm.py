@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,11 +87,14 @@ def test_quality_rules(docs, empty):
 
 def test_source_mix(spark, docs, empty, texts):
     rng = random.Random(1)
-    rows = [_row(i, "w " * rng.randint(1, 9), rng.choice(["a", "b", "c", "hot", "hot", "hot", None])) for i in range(4000)]
-    for frame in (docs, spark.createDataFrame(rows, DOCS)):
-        out = source_mix.plan_mix(frame)
-        got = out.collect()
-        assert len(got) == frame.count() and sorted(map(str, got)) == sorted(map(str, source_mix.plan_mix(frame).collect()))
+    rows = [_row(i, "w " * rng.randint(1, 9), rng.choice(["a", "b", "c", "hot", "hot", "hot", None])) for i in range(1200)]
+    no_id = [(None, f"{'w ' * rng.randint(1, 9)}{i}", *r[2:]) for i, r in enumerate(rows)]
+    half = [(None, *r[1:]) if i % 2 else r for i, r in enumerate(rows)]
+    same = [_row(7, "one two three", "hot") for _ in range(1000)] + rows[:300]
+    for frame in (docs, *(spark.createDataFrame(x, DOCS) for x in (rows, no_id + half, same))):
+        got = source_mix.plan_mix(frame).collect()
+        assert len(got) == frame.count()
+        assert frame is not docs or sorted(map(str, got)) == sorted(map(str, source_mix.plan_mix(frame).collect()))
         size, taken, target, most = Counter(), Counter(), {}, Counter()
         for r in got:
             assert r["taken"] <= 2 * r["size"]
@@ -110,11 +114,10 @@ def test_source_mix(spark, docs, empty, texts):
             open_ -= full or open_
         for s in order:
             assert target[s] == pytest.approx(want[s])
-            if frame is not docs:
-                assert abs(taken[s] - target[s]) <= most[s]
-    mixed = source_mix.mix(spark.createDataFrame(rows, DOCS))
-    want_ids = Counter({r["doc_id"]: r["copies"] for r in source_mix.plan_mix(spark.createDataFrame(rows, DOCS)).collect() if r["copies"]})
-    assert Counter(r["doc_id"] for r in mixed.collect()) == want_ids and mixed.columns == docs.columns
+            assert abs(taken[s] - target[s]) <= most[s]
+        copies = Counter((r["doc_id"], r["size"], r["source"]) for r in got for _ in range(r["copies"]))
+        mixed = source_mix.mix(frame)
+        assert mixed.columns == docs.columns and Counter((r["doc_id"], len((r["text"] or "").split()), r["source"]) for r in mixed.collect()) == copies
     assert source_mix.plan_mix(empty).count() == 0 and source_mix.mix(empty).count() == 0
 
 
@@ -328,6 +331,37 @@ def test_token_store(spark, docs, empty):
     assert token_store.store_and_read(empty, TOKENIZER).count() == 0
 
 
+def test_library_encoder():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(TOKENIZER), random.Random(13)
+    enc = token_store.LibraryEncoder(TOKENIZER)
+    assert enc.plain
+    letters = [chr(c) for c in range(0x21, 0x530) if chr(c).isprintable()]
+    parts = ["the", "er", "Öl", "'s", "..", ",", " ", "\n", "日", "ß", "Σ", "İ", "e\u0301", "\x1c", "\u2003", "<|endoftext|>", *letters]
+    texts = [None, "", " ", *letters, *(f"a{c}b{c}" for c in letters), *("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(2000))]
+    for _ in range(2):
+        ids, n = enc.encode(pa.array(texts, pa.string()))
+        for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_token_blocks_of_any_ids():
+    rng = np.random.default_rng(2)
+    for ids in (np.arange(70_000), rng.integers(0, 1 << 31, 20_000), rng.integers(0, 1 << 17, 200_000), np.zeros(0, np.int64), np.array([2**32 - 1, 0])):
+        assert (token_store.unpack_chunk(token_store.pack_chunk(ids)) == ids).all()
+    ids = rng.zipf(1.2, 9000) % 40_000
+    data = token_store.pack_chunk(ids)
+    count, header, blocks = np.frombuffer(data, "<u4", 3).tolist()
+    sizes = np.frombuffer(data, "<u4", blocks, 12).tolist()
+    at = 12 + 4 * blocks
+    zero = token_store.OrderZero.unpack(data[at : at + header])
+    for k in range(blocks):  # each block by itself
+        first = at + header + sum(sizes[:k])
+        part = ids[k * token_store.BLOCK_TOKENS : (k + 1) * token_store.BLOCK_TOKENS]
+        assert (token_store.decode_blocks([data[first : first + sizes[k]]], len(part), zero) == part).all()
+
+
 def test_token_blocks():
     rng = np.random.default_rng(1)
     for n in (1, 3, 2047, 2048, 2049, 9000):
