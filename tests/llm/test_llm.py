@@ -396,20 +396,74 @@ def test_license_scan(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def _edits(a, b):
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
 def test_license_edits():
-    """Every notice with edits up to its bound is found; brute force agrees on short texts."""
+    """Every notice with edits up to its bound, outside of its fixed words, is found."""
     search, rng = license_scan.searcher(), random.Random(2)
-    for text, label, edits, _ in search.notices:
+    for text, label, edits, _, fixed in search.notices:
+        stays = range(text.find(fixed.strip()) - 1, text.find(fixed.strip()) + len(fixed) - 1) if fixed else range(0)
         for _ in range(5):
             chars = list(text)
             for _ in range(rng.randint(0, edits)):
-                k = rng.randrange(1, len(chars) - 1)
-                chars[k : k + 1] = rng.choice([[], ["q"], [chars[k], "q"]])
+                k = rng.choice([k for k in range(1, len(chars) - 1) if k not in stays])
+                chars[k] = rng.choice(["", "q", chars[k] + "q"]) if len(chars[k]) == 1 else chars[k]
             hits = search.hits("before it " + "".join(chars) + " after it")
             assert any(h.label == label and h.edits <= edits for h in hits), (text, "".join(chars))
     assert not search.hits("an ordinary text about public houses and general remarks on license plates")
 
 
+def test_license_hits_by_brute_force():
+    """In short texts of pieces of notices: every reported span is within its edits, and every place within them is reported or overlaps a better one."""
+    search, rng = license_scan.searcher(), random.Random(3)
+    some = [n for n in search.notices if n[0] in ("released under the mit license", "licensed under the mit license", "licensed under cc by nc 4 0", "gnu lesser general public license")]
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            chars = list(rng.choice(some)[0])
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(chars))
+                chars[k] = rng.choice(["", "q", chars[k] + "x"])
+            parts += ["".join(chars), *rng.choice([[], ["and"]])]
+        joined = " ".join(" ".join(parts).split())
+        hits = search.hits(joined)
+        for text, label, edits, _, fixed in some:
+            mine = [h for h in hits if h.label == label and h.length == len(text)]
+            for h in mine:
+                assert h.edits <= edits and fixed in f" {license_scan._whole_words(joined, h.start, h.end)} "
+            for a in range(len(joined)):
+                for b in range(a + len(text) - edits, min(len(joined), a + len(text) + edits) + 1):
+                    span = joined[a:b]
+                    if fixed in license_scan._whole_words(joined, a, b) and (n := _edits(span, text)) <= edits:
+                        # the matching edits may begin elsewhere by as many characters as there are edits
+                        assert any(h.start < b + edits and a - edits < h.end for h in mine), (joined, span, n)
+
+
+def test_license_words_that_tell_licenses_apart():
+    search = license_scan.searcher()
+    assert not search.hits("licensed under cc by nd 4 0") and not search.hits("released under the mil license")
+    assert [h.label for h in search.hits("licensed undr cc by nc 4 0")] == ["cc-by-nc"]
+
+
+def test_license_scan_of_many_seeds_is_linear():
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        began = time.process_time()
+        license_scan.searcher().hits("license under the mit " * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_html_extract(spark):
     page = "<html><head><title>T</title><script>x='<p>no</p>'</script></head><body><nav><a href=/>Home</a></nav><header><p>Site header words</p></header><article><h1>A  title &amp; more</h1><p>First paragraph of the\narticle with&nbsp;enough words.</p><p>Second <b>bold<br>text</b> &copy 2020.</p><p>Yes.</p><div class='comments'><p>A reader writes a comment of some length here.</p></div></article><aside>Side</aside><form><label>Mail</label><button>Go</button></form><footer>The footer</footer><!-- c --></body></html>"
     rows = [(1, "u", page, 5), (1, "u", page, 5), (2, None, None, 5), (3, "u", "", 5), (4, "u", "no markup", 5), (5, "u", "<p>open <p>never <b>closed <script>x", 5), (None, "u", "<article><p>" + "long words here. " * 20000 + "</p></article>", 5)]

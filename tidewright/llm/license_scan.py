@@ -2,8 +2,10 @@
 
 A text is brought to its words: A-Z in lower case, words joined by one blank.  A notice of which at most e characters may
 be inserted, deleted or replaced is cut in e + 1 pieces; by the pigeonhole principle an occurrence holds one piece
-unchanged.  An automaton over the pieces of all notices finds such seeds in one pass, and around each seed the regex
-library's bounded-error matching verifies the notice and reports its span and edits.
+unchanged.  An automaton over the pieces of all notices finds such seeds in one pass, and around each seed, in a window as
+long as the notice and its edits, the regex library's bounded-error matching verifies the notice and reports its span and
+edits.  Words that tell a licence from others must stand unchanged.  Of overlapping places of one notice the one with
+the fewest edits counts, then the first.
 
 Edge cases: a null text counts as empty; a text without words has no notice, null first and last words and score 0; long
 texts are searched whole; rows are handled one by one, so repeated rows, empty tables and further columns need no care.
@@ -25,26 +27,26 @@ from tidewright.llm.common import col, map_texts
 # The phrases of the contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Short notices and their labels, in words as ``words_of`` gives them.
+#: Short notices in words as ``words_of`` gives them, their labels, and the words of each that no edit may touch.
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache"),
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the gnu general public license version", "gpl"),
-    ("gnu general public license as published by the free software foundation", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd"),
-    ("licensed under the bsd 3 clause license", "bsd"),
-    ("mozilla public license version 2 0", "mpl"),
-    ("eclipse public license version 2 0", "epl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("creative commons attribution noncommercial 4 0 international", "cc-by-nc"),
-    ("creative commons attribution sharealike 4 0 international", "cc-by-sa"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("released under the mit license", "mit", "mit"),
+    ("licensed under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ""),
+    ("licensed under the gnu general public license version", "gpl", "gnu general"),
+    ("gnu general public license as published by the free software foundation", "gpl", "gnu general"),
+    ("gnu lesser general public license", "lgpl", "gnu lesser"),
+    ("gnu affero general public license", "agpl", "gnu affero"),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", ""),
+    ("licensed under the bsd 3 clause license", "bsd", "bsd"),
+    ("mozilla public license version 2 0", "mpl", "mozilla"),
+    ("eclipse public license version 2 0", "epl", "eclipse"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "cc by nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "cc by sa"),
+    ("creative commons attribution noncommercial 4 0 international", "cc-by-nc", "noncommercial"),
+    ("creative commons attribution sharealike 4 0 international", "cc-by-sa", "sharealike"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", ""),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", ""),
 )
 
 #: One edit is allowed for each so many characters of a notice.
@@ -72,12 +74,13 @@ class Hit:
 class NoticeSearch:
     """Seeds and verifying patterns of a list of notices."""
 
-    def __init__(self, notices: tuple[tuple[str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
+    def __init__(self, notices: tuple[tuple[str, str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
         self.notices = []
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for at, (text, label) in enumerate(notices):
+        for at, (text, label, fixed) in enumerate(notices):
             edits = max(1, len(text) // chars_per_edit)
-            self.notices.append((text, label, edits, regex.compile(f"(?b)(?:{regex.escape(text, special_only=True, literal_spaces=True)}){{e<={edits}}}")))
+            pattern = regex.compile(f"(?b)(?:{regex.escape(text, special_only=True, literal_spaces=True)}){{e<={edits}}}")
+            self.notices.append((text, label, edits, pattern, f" {fixed} " if fixed else ""))
             cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[lo:hi], []).append((at, lo))
@@ -88,30 +91,33 @@ class NoticeSearch:
 
     def hits(self, joined: str) -> list[Hit]:
         """Notices within their edits, those of one notice apart from each other."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[int]] = {}
         for end, (n, uses) in self.automaton.iter(joined):
-            start = end + 1 - n
             for at, offset in uses:
-                text, _, edits, _ = self.notices[at]
-                lo, hi = max(0, start - offset - edits), start - offset + len(text) + edits
-                mine = windows.setdefault(at, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1] = [min(lo, mine[-1][0]), max(hi, mine[-1][1])]
-                else:
-                    mine.append([lo, hi])
-        out = []
-        for at, places in windows.items():
-            text, label, edits, pattern = self.notices[at]
-            # the best match of a window first, then those in what is left before and after it
-            left = [(lo, min(hi, len(joined))) for lo, hi in places]
-            while left:
-                lo, hi = left.pop()
-                if hi - lo >= len(text) - edits and (m := pattern.search(joined, lo, hi)):
-                    out.append(Hit(label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
-                    left += [(lo, m.start()), (m.end(), hi)]
+                windows.setdefault(at, set()).add(end + 1 - n - offset)
+        out: list[Hit] = []
+        for at, starts in windows.items():
+            text, label, edits, pattern, fixed = self.notices[at]
+            found = set()
+            for start in starts:
+                m = pattern.search(joined, max(0, start - edits), start + len(text) + edits)
+                if m and (not fixed or fixed in _whole_words(joined, m.start(), m.end())):
+                    found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            taken: list[tuple[int, int]] = []
+            for count, a, b in sorted(found):
+                k = bisect_right(taken, (a, b))
+                if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b))
+                    out.append(Hit(label, a, b, count, len(text)))
         return sorted(out, key=lambda h: (h.start, h.end, h.label))
 
 
+def _whole_words(joined: str, start: int, end: int) -> str:
+    """The words that a span touches, with a blank before and after."""
+    last = joined.find(" ", end)
+    return f" {joined[joined.rfind(' ', 0, start + 1) + 1 : len(joined) if last < 0 else last]} "
+
+
 def phrase_hits(joined: str) -> list[Hit]:
     """All places where a phrase's words stand one after the other."""
     out = []
@@ -127,7 +133,7 @@ def phrase_hits(joined: str) -> list[Hit]:
 
 
 @lru_cache(maxsize=4)
-def searcher(notices: tuple[tuple[str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> NoticeSearch:
+def searcher(notices: tuple[tuple[str, str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> NoticeSearch:
     return NoticeSearch(notices, chars_per_edit)
 
 
@@ -155,7 +161,7 @@ def source_spans(text: str, joined: str, hits: list[Hit]) -> list[tuple[str, int
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[tuple[str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[tuple[str, str, str], ...] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Per row ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``.
 
     ``score`` is the best share of unchanged characters of a hit (1 for an exact one, 0 without any); ``spans`` lists
