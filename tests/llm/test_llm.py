@@ -482,6 +482,82 @@ def test_html_tree_on_new_pages():
     assert (tree.predict(x) == (y > 0)).mean() > 0.97
 
 
+def test_html_tree_without_telling_classes():
+    tree = html_extract.default_tree()
+    x, y = html_extract.training_table(html_extract.training_pages(120, seed=98, telling=0.0))
+    kept, right = tree.predict(x), y > 0
+    assert (kept & right).sum() >= 0.95 * kept.sum() and (kept & right).sum() >= 0.95 * right.sum()
+    names = set()
+
+    def walk(node):
+        if node.rule:
+            names.add(html_extract.FEATURES[node.rule[0]])
+            walk(node.low)
+            walk(node.high)
+
+    walk(tree)
+    assert "links" in names and names & {"words_before", "links_before", "words_after", "links_after"}
+
+
+def test_html_pages_by_brute_force(spark):
+    """The pages of the table hold their main text in one <article>, read here by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts, self.blocks = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br" and self.depth:
+                self.parts.append(" ")
+            elif tag in ("article", "p", "h1"):
+                self.flush()
+            self.depth += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1"):
+                self.flush()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                self.parts.append(data)
+
+        def flush(self):
+            if text := " ".join("".join(self.parts).split()):
+                self.blocks.append(text)
+            self.parts.clear()
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r["html"] or "")
+        assert got[r["page_id"]] == "\n".join(parser.blocks), r["page_id"]
+
+
+def test_html_links_and_open_media():
+    tree = html_extract.default_tree()
+    links = "<div>" + " ".join("<a href=x>some link text</a>" for _ in range(12)) + "</div>"
+    long, more = "word " * 40 + "end.", "more " * 30 + "end."
+    page = f"<body>{links}<article><h1>Title</h1><p>{long}</p>{links}<video src=x><p>{more}</p></article>{links}<div>&copy; 2020 {'foot ' * 17}</div></body>"
+    assert html_extract.main_text(page, tree) == f"Title\n{long}\n{more}"
+    assert html_extract.main_text(f"<article><p>{long}<video>no</video></p><script>x", tree) == long
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ('<a "', "<a b='c\" ", "<video>", "<div></li>", "<", "<!-- ", "<! ", "</script ", "<a class   "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            html_extract.blocks_of((piece * (n // len(piece) + 1))[:n])
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.3, piece
+
+
 def test_quality_classifier(spark, words, docs, empty):
     rng = random.Random(8)
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))

@@ -2,17 +2,21 @@
 
 A page is cut in blocks at block-level tags.  Each block is described by its number of words and link density and those of the
 blocks before and after it, and by what its containers say (an article, a menu, a comment list ...).  A decision tree,
-trained on the small table of labelled blocks of ``training_pages``, keeps the article's blocks.
+trained on the small table of labelled blocks of ``training_pages``, keeps the article's blocks.  Half of these pages have
+no telling tags or classes, and some have lists of links within the article, so that words and link densities decide there.
 
 Edge cases: null html counts as empty and gives an empty text; broken markup (tags left open, stray end tags) is read as
-browsers would, roughly; markup that never ends is text; scripts, styles and comments are dropped whatever they contain;
-pages are handled one by one, so repeated rows, empty tables and further columns need no care; nothing is cut off.
+browsers would, roughly; markup that never ends is text; scripts, styles and comments are dropped whatever they contain,
+to the end of the page if they are left open; an open ``video``, ``svg`` or the like drops nothing; pages are read in time
+in proportion to their length, whatever they hold, and one by one, so that repeated rows, empty tables and further
+columns need no care; nothing is cut off.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -21,11 +25,13 @@ from pyspark.sql import DataFrame
 
 from tidewright.llm.common import col, map_texts
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
-#: Elements whose content is not text of the page.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math", "canvas", "audio", "video"}
+#: Elements whose content is not text of the page: to its end if they are left open, and not at all then.
+RAW = {"script", "style", "iframe", "textarea", "title", "noframes", "xmp"}
+EMBEDDED = {"noscript", "template", "svg", "object", "math", "canvas", "audio", "video"}
 #: Elements that begin and end a block.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul label".split())
 #: Those of them that can hold others and so are kept on a stack.
@@ -40,7 +46,8 @@ _COMMENT_WORDS = set("comment comments reply replies respond discussion disqus c
 _ARTICLE_WORDS = set("article content post entry story main body articlebody text maincontent".split())
 _ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form"}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "comment", "heading", "item", "stop")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "comment", "heading", "item", "legal")
+_LEGAL = re.compile(r"©|\(c\) ?[12][0-9]{3}|copyright|rights reserved", re.IGNORECASE)
 
 
 @dataclass
@@ -79,6 +86,8 @@ def blocks_of(page: str) -> list[Block]:
     stack = [_Holder("", False, False, False)]
     parts: list[tuple[str, bool]] = []
     tag_now, in_link, at = "", False, 0
+    open_tags: Counter[str] = Counter()
+    never: set[str] = set()  # ends that don't come any more
 
     def close() -> None:
         if parts:
@@ -89,21 +98,55 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, text.count(" ") + 1, linked, top.article, top.boiler, top.comment, tag_now or top.tag))
             parts.clear()
 
+    def find(what: str, at: int) -> int:
+        found = -1 if what in never else page.find(what, at)
+        if found < 0:
+            never.add(what)
+        return found
+
+    def end_of(tag: str, at: int) -> int:
+        """Behind the next end tag of ``tag``, or -1; upper and lower case count as one."""
+        if f"</{tag}" in never:
+            return -1
+        stop = _end_tag(tag).search(page, at)
+        if stop is None:
+            never.add(f"</{tag}")
+            return -1
+        return stop.end()
+
     while at < len(page):
-        m = _MARKUP.search(page, at)
-        if m is None:
+        begins = _OPENING.search(page, at)
+        if begins is None:
             parts.append((page[at:], in_link))
             break
-        if m.start() > at:
-            parts.append((page[at : m.start()], in_link))
-        at = m.end()
-        if m[2] is None:
+        start = begins.start()
+        if start > at:
+            parts.append((page[at:start], in_link))
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        m = None
+        if page[start + 1 : start + 2] in ("!", "?"):
+            end = find(">", start)
+        else:
+            if "quotes" not in never and (m := _TAG.match(page, start)) is None and _OPEN_TAG.match(page, start):
+                never.add("quotes")  # a quote stays open to the end of the page: from here on they mean nothing
+            if m is None and ">" not in never and (m := _BARE_TAG.match(page, start)) is None and _OPEN_TAG.match(page, start):
+                never.add(">")
+            end = m.end() - 1 if m else -1
+        if end < 0:
+            parts.append((page[start : start + 1], in_link))
+            at = start + 1
+            continue
+        at = end + 1
+        if m is None:
             continue
         tag, ends = m[2].lower(), bool(m[1])
-        if tag in RAW:
+        if tag in RAW or tag in EMBEDDED:
             if not ends and not m[3].endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = stop.end() if stop else len(page)
+                end = end_of(tag, at)
+                at = end if end >= 0 else len(page) if tag in RAW else at
         elif tag == "a":
             in_link = not ends
         elif tag == "br":
@@ -113,19 +156,28 @@ def blocks_of(page: str) -> list[Block]:
             tag_now = "" if ends else tag
             if ends:
                 in_link = False
-                if tag in HOLDERS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == tag:
-                            del stack[k:]
-                            break
+                while open_tags[tag]:
+                    gone = stack.pop().tag
+                    open_tags[gone] -= 1
+                    if gone == tag:
+                        break
             elif tag in HOLDERS and tag not in _VOID:
                 if tag == "li" and stack[-1].tag == "li" or tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag == tag:
-                    stack.pop()
+                    open_tags[stack.pop().tag] -= 1
                 stack.append(_enter(tag, m[3], stack[-1]))
+                open_tags[tag] += 1
     close()
     return out
 
 
+_OPENING, _OPEN_TAG = re.compile(r"<(?=/?[a-zA-Z]|[!?])"), re.compile(r"</?[a-zA-Z]")
+
+
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?:\s[^>]*)?>", re.IGNORECASE)
+
+
 def features_of(blocks: list[Block]) -> np.ndarray:
     """(blocks, FEATURES): what the tree sees."""
     n = len(blocks)
@@ -139,7 +191,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
     out[:-1, 4], out[:-1, 5] = words[1:], links[1:]
     for i, b in enumerate(blocks):
         heading = len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit()
-        out[i, 6:] = (b.article, b.boiler, b.comment, heading, b.tag in ("li", "td", "th", "dt", "dd"), b.text[-1] in ".!?…:;\"'”»)")
+        out[i, 6:] = (b.article, b.boiler, b.comment, heading, b.tag in ("li", "td", "th", "dt", "dd"), bool(_LEGAL.search(b.text)))
     return out
 
 
@@ -180,32 +232,60 @@ class Tree:
         return out
 
 
-def training_pages(count: int = 80, seed: int = 3) -> list[tuple[str, list[str]]]:
-    """(html, the article's blocks) by a seeded rule: three pages in four with telling tags and classes, one with few."""
+def training_pages(count: int = 240, seed: int = 3, telling: float = 0.5) -> list[tuple[str, list[str]]]:
+    """(html, the article's blocks) by a seeded rule: a share of ``telling`` pages has tags and classes that say what is what."""
     rng = np.random.default_rng(seed)
-    say = lambda a, b, end=".": " ".join("".join(rng.choice(list("aeilnorst"), int(rng.integers(2, 9)))) for _ in range(int(rng.integers(a, b)))) + end
-    links = lambda a, b: "".join(f'<li><a href="/{i}">{say(1, 3, "")}</a></li>' for i in range(int(rng.integers(a, b))))
+    pool = np.array(["".join(rng.choice(list("aeilnorst"), int(rng.integers(2, 9)))) for _ in range(500)])
+    say = lambda a, b, end=".": " ".join(pool[rng.integers(0, len(pool), int(rng.integers(a, b)))]) + end
+    links = lambda a, b: "".join(f'<li><a href="/{i}">{say(1, 5, "")}</a></li>' for i in range(int(rng.integers(a, b))))
+    line = lambda a, b: " ".join(f'<a href="/{i}">{say(1, 5, "")}</a>' for i in range(int(rng.integers(a, b))))
+    pick = lambda *made: made[int(rng.integers(len(made)))]()
+    # menus and lists of links: items, one long block, or one with some words around the links
+    menu = lambda: pick(lambda: f"<ul>{links(3, 9)}</ul>", lambda: f"<div>{line(3, 20)}</div>", lambda: f"<p>{line(2, 12)}</p>", lambda: f"<div>{say(1, 5, ':')} {line(4, 16)}</div>")
+    legal = lambda: f"&copy; {int(rng.integers(1990, 2030))} {say(1, 12)} {rng.choice(['All rights reserved.', '', say(1, 9)])}"
+    foot = lambda: pick(legal, lambda: f"{legal()} {line(1, 6)}", lambda: f"{say(1, 8, '')} {line(2, 9)}", lambda: f"Copyright {say(2, 20)}")
+
+    def paragraph(a: int, b: int) -> tuple[str, str]:
+        """(html, text) of a paragraph, of which some have links."""
+        words = say(a, b).split(" ")
+        shown = list(words)
+        if len(words) > 8 and rng.random() < 0.4:
+            for _ in range(int(rng.integers(1, 4))):
+                k = int(rng.integers(len(words)))
+                shown[k] = f'<a href="/{k}">{words[k]}</a>'
+        return f"<p>{' '.join(shown)}</p>", " ".join(words)
+
     out = []
-    for i in range(count):
-        telling = i % 4 != 0
-        paragraphs = [say(1, 16) if rng.random() < 0.5 else say(12, 90) for _ in range(int(rng.integers(3, 8)))]
-        if not telling:
-            paragraphs = [p if len(p.split()) > 12 else say(15, 60) for p in paragraphs]
+    for _ in range(count):
+        says = rng.random() < telling
         title = say(1, 16, str(rng.choice(["", "."])))
-        body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
-        short = say(1, 40)
-        if telling:
-            before = rng.choice([f"<nav><ul>{links(3, 8)}</ul></nav>", f'<header><p>{short}</p></header><div class="menu">{links(3, 6)}</div>', f'<div id="cookie-notice"><p>{say(10, 60)}</p></div><div class="ad">{say(4, 40)}</div>', f'<div class="ad">{say(5, 50)}</div>'])
-            after = rng.choice([f"<footer>{say(1, 60)}</footer>", f'<div class="comments"><div>{say(10, 80)}</div><div>{say(2, 20)}</div></div><footer><p>{short}</p></footer>', f"<aside><p>{say(1, 80)}</p><ul>{links(3, 6)}</ul></aside>", f'<form><label>{say(1, 4, "")}</label><button>{say(1, 2, "")}</button></form><footer>{short}</footer>'])
-            noise = rng.choice(["", f'<section id="comments"><p>{say(5, 70)}</p><p>{say(2, 30)}</p></section>', f'<aside><p>{say(8, 60)}</p></aside>', f'<div class="share"><span>{say(2, 6, "")}</span></div>', f'<div class="newsletter">{say(8, 40)}</div>'])
-            middle = body.find("</p>", len(body) // 2) + 4
-            body = body[:middle] + str(noise) + body[middle:]
-            inside = rng.choice([f"<article>{body}</article>", f'<main><div class="post-content">{body}</div></main>', f'<div class="article-body">{body}</div>'])
+        made = [paragraph(1, 16) if says and rng.random() < 0.5 else paragraph(14, 90) for _ in range(int(rng.integers(2, 8)))]
+        body = [f"<h1>{title}</h1>", *(h for h, _ in made)]
+        # short paragraphs between long ones belong to an article without tags too
+        if not says and len(made) > 2 and rng.random() < 0.4:
+            text = say(2, 12)
+            made[1:1], body[2:2] = [("", text)], [f"<p>{text}</p>"]
+        if says and rng.random() < 0.5:  # lines of law within an article are its own
+            text = rng.choice(["All rights reserved.", f"Copyright {say(1, 12)}"])
+            made.append(("", text))
+            body.append(f"<p>{text}</p>")
+        if rng.random() < 0.25:  # some articles have no title
+            title, body = "", body[1:]
+        if rng.random() < 0.5:  # links to other pages, in the middle of the article
+            body.insert(int(rng.integers(1, len(body) + 1)), menu())
+        if says:
+            noise = pick(lambda: "", lambda: f'<section id="comments"><p>{say(5, 70)}</p><p>{say(2, 30)}</p></section>', lambda: f"<aside><p>{say(8, 60)}</p></aside>", lambda: f'<div class="share"><span>{say(2, 6, "")}</span></div>', lambda: f'<div class="newsletter">{say(8, 40)}</div>')
+            body.insert(int(rng.integers(1, len(body) + 1)), noise)
+            before = pick(lambda: f"<nav>{menu()}</nav>", lambda: f'<header><p>{say(1, 40)}</p></header><div class="menu">{menu()}</div>', lambda: f'<div id="cookie-notice"><p>{say(10, 60)}</p></div><div class="ad">{say(4, 40)}</div>', lambda: f'<div class="ad">{say(5, 50)}</div>', menu)
+            after = pick(lambda: f"<footer>{pick(foot, lambda: say(1, 60))}</footer>", lambda: f'<div class="comments"><div>{say(10, 80)}</div><div>{say(2, 20)}</div></div><footer><p>{say(1, 40)}</p></footer>', lambda: f"<aside><p>{say(1, 80)}</p>{menu()}</aside>", lambda: f'<form><label>{say(1, 4, "")}</label><button>{say(1, 2, "")}</button></form><footer>{foot()}</footer>', lambda: f"{menu()}<div>{foot()}</div>")
+            wrap = pick(lambda: "<article>{}</article>", lambda: '<main><div class="post-content">{}</div></main>', lambda: '<div class="article-body">{}</div>')
         else:
-            before = f"<ul>{links(3, 8)}</ul><div>{say(2, 5, '')}</div>"
-            after = f"<ul>{links(3, 8)}</ul><div>{say(1, 5, '')}</div>"
-            inside = f"<div>{body}</div>"
-        out.append((f"<html><body>{before}{inside}{after}</body></html>", [title, *paragraphs]))
+            before = pick(menu, lambda: f"{menu()}<div>{say(1, 9, '')}</div>", lambda: f"<div>{say(1, 6, '')}</div>{menu()}")
+            after = pick(lambda: f"<div>{foot()}</div>", lambda: f"{menu()}<div>{foot()}</div>", lambda: f"{menu()}<div>{say(1, 8, '')}</div>", lambda: f"{menu()}<p>{say(3, 22)}</p>", menu)
+            wrap = "<div>{}</div>"
+        # a third of the pages begin or end with the article
+        before, after = ("" if rng.random() < 0.33 else x for x in (before, after))
+        out.append((f"<html><body>{before}{wrap.format(''.join(body))}{after}</body></html>", [t for t in (title, *(t for _, t in made)) if t]))
     return out
 
 
