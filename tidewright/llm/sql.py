@@ -75,11 +75,11 @@ SELECT doc_id, source, size, source_size, target, (whole + CASE WHEN size > 0 AN
 def topk_search(rows: str = "embeddings", k: int = 10) -> str:
     """Columns of the query op6, by comparing every query with every row."""
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM {rows}
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.x, r.x), lambda p: p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM {rows}
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, r.vec_id, coalesce(list_sum(list_transform(list_zip(q.x, r.x), lambda p: p[1] * p[2])), 0)::BIGINT AS score
   FROM v q JOIN v r ON r.vec_id <> q.vec_id AND len(q.x) = len(r.x) WHERE q.vec_id % 100 = 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+o AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM o WHERE rank <= {k}
 """.strip()
 

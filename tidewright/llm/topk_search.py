@@ -6,11 +6,12 @@ query's digits pick slices, and carry-save adders on whole bitmaps add those of
 from the most significant slice downward; rows that tie with the last place after the last slice have equal scores, and the
 smaller ids among them are taken.
 
-Blocks are built where the rows are, without a shuffle.  Queries are dealt into blocks as well, each pair of blocks is one
-task row, and a block sends back k rows per query at most.
+Blocks are built where the rows are, without a shuffle.  Queries are dealt into parts, and the parts are sent to the blocks:
+a task's unit is a block with a bounded number of parts, so that memory is bounded and all cores have work; it sends back k
+rows per query at most.
 
-Edge cases: vectors that are null, empty or hold a null, NaN or infinite component take no part, nor do rows with a null
-id; rows with large components (2^26 or more after quantising) have blocks of their own with as many digits as they need,
+Edge cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with a null id;
+empty vectors score 0 against each other; each query row has a ranking of its own, also where ids repeat; rows with large components (2^26 or more after quantising) have blocks of their own with as many digits as they need,
 and a score of the result that doesn't fit a bigint is an error; only vectors of equal length are compared; equal scores rank by the smaller id; a row that occurs several times with one id is several
 candidates, but no row is a candidate for a query with its own id; empty tables give an empty result.
 """
@@ -29,6 +30,8 @@ from tidewright.llm.common import col, cut
 
 #: Rows of a block of the index, and queries of a block of queries.
 BLOCK_ROWS, QUERY_ROWS = 8192, 256
+#: Parts that meet a block at once at most, and about so many units of work where there are few.
+PARTS_AT_ONCE, UNITS = 16, 64
 #: Rows of a block whose components don't fit 64 bits.
 WIDE_ROWS = 512
 SCALE = 1024
@@ -49,7 +52,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, x``: the vectors that take part, as doubles."""
     v = col(vector_col)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
-    ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, fine) & col(id_col).isNotNull()
+    ok = v.isNotNull() & F.forall(v, fine) & col(id_col).isNotNull()
     return vectors.where(ok).select(col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("x"))
 
 
@@ -155,8 +158,8 @@ def top_rows(score: list[np.ndarray], live: np.ndarray, k: int) -> tuple[np.ndar
     return _rows(sure), _rows(tied)
 
 
-def search_block(ids: np.ndarray, slices: np.ndarray, queries: list[np.ndarray], query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """(query id, row id, score, over) of each query's best rows in a block; ``ids`` ascend.
+def search_block(ids: np.ndarray, slices: np.ndarray, queries: list[np.ndarray], query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the query, query id, row id, score, over) of each query's best rows in a block; ``ids`` ascend.
 
     ``over`` is 1 or -1 for a score above or below those of 64 bits, which is given as the nearest one that fits.
     """
@@ -164,7 +167,7 @@ def search_block(ids: np.ndarray, slices: np.ndarray, queries: list[np.ndarray],
     full = np.zeros(slices.shape[2] * 8, np.uint8)
     full[: len(live)] = live
     full = full.view(np.uint64)
-    for q, query_id in zip(queries, query_ids, strict=True):
+    for number, (q, query_id) in enumerate(zip(queries, query_ids, strict=True)):
         mine = full
         lo, hi = np.searchsorted(ids, [query_id, query_id + 1])
         if lo < hi:
@@ -182,7 +185,7 @@ def search_block(ids: np.ndarray, slices: np.ndarray, queries: list[np.ndarray],
             value += (-digit if place == len(score) - 1 else digit) << place
         values = value.tolist()
         over = [(v > _BIGINT) - (v < -_BIGINT - 1) for v in values]
-        yield from zip([int(query_id)] * len(rows), ids[rows].tolist(), [min(max(v, -_BIGINT - 1), _BIGINT) for v in values], over, strict=True)
+        yield from zip([number] * len(rows), [int(query_id)] * len(rows), ids[rows].tolist(), [min(max(v, -_BIGINT - 1), _BIGINT) for v in values], over, strict=True)
 
 
 def _index_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +202,7 @@ def _index_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for ident, x in zip(batch["vec_id"], batch["x"], strict=True):
             x = quantised(x)
-            key = len(x), 2 if x.dtype == object else int(np.abs(x).max() >= _MOST)
+            key = len(x), 2 if x.dtype == object else int(np.abs(x).max(initial=0) >= _MOST)
             held.setdefault(key, []).append((int(ident), x))
             if len(held[key]) == (WIDE_ROWS if key[1] == 2 else BLOCK_ROWS):
                 yield block(key)
@@ -208,28 +211,38 @@ def _index_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _search(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dims, bits, ids, slices, queries in zip(batch["dims"], batch["bits"], batch["ids"], batch["slices"], batch["queries"], strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                slices = np.frombuffer(slices, np.uint64).reshape(dims, bits, -1)
+    def run(blocks: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for dims, bits, ids, slices in zip(blocks["dims"], blocks["bits"], blocks["ids"], blocks["slices"], strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            slices = np.frombuffer(slices, np.uint64).reshape(dims, bits, -(-len(ids) // 64))
+            for queries in parts["queries"]:
                 query_ids = np.array([q["vec_id"] for q in queries], np.int64)
-                values = [quantised(q["x"]) for q in queries]
-                out = list(search_block(ids, slices, values, query_ids, k))
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "over"]).astype("int64")
+                found = search_block(ids, slices, [quantised(q["x"]) for q in queries], query_ids, k)
+                out += [(queries[n]["query"], *rest) for n, *rest in found]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score", "over"]).astype("int64")
 
     return run
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` best rows of ``index`` for each row of ``queries``: ``query_id, rank, vec_id, score``."""
-    asked = cut(usable(queries, id_col, vector_col))
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part", F.size("x").alias("dims")).agg(F.collect_list(F.struct("vec_id", "x")).alias("queries"))
+    asked = cut(usable(queries, id_col, vector_col).withColumn("query", F.monotonically_increasing_id()))
+    n_parts = max(1, -(-asked.count() // QUERY_ROWS))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(n_parts)).cast("int"))
     blocks = usable(index, id_col, vector_col).mapInPandas(_index_blocks, "dims int, bits int, ids binary, slices binary")
-    pairs = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["part", "dims"])
-    found = pairs.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint, over bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
+    n_blocks = max(1, blocks.count())
+    at_once = min(PARTS_AT_ONCE, max(1, n_blocks * n_parts // UNITS))
+    groups = -(-n_parts // at_once)
+    tasks = min(n_blocks * groups, max(UNITS, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # the blocks and, as often as there are blocks of their length, the parts meet by block and group of parts
+    parts = asked.groupBy("part", F.size("x").alias("dims")).agg(F.collect_list(F.struct("query", "vec_id", "x")).alias("queries"))
+    sent = parts.join(blocks.select("block", "dims"), "dims").select(F.col("block").alias("to_block"), F.floor(F.col("part") / at_once).cast("int").alias("to_group"), "queries")
+    blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    left, right = (df.repartition(tasks, *keys).groupBy(*keys) for df, *keys in ((blocks, "block", "group"), (sent, "to_block", "to_group")))
+    found = left.cogroup(right).applyInPandas(_search(k), "query bigint, query_id bigint, vec_id bigint, score bigint, over bigint")
+    order = Window.partitionBy("query").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("op6: a score does not fit a bigint")).cast("bigint"))
     return best.select("query_id", "rank", "vec_id", score.alias("score"))
