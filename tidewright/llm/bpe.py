@@ -173,6 +173,8 @@ class BpeEncoder:
                             following = after[token] = {}
                         rows[end] = following
         out, at = [], n_chars
+        if rows[at] is None and at:
+            raise ValueError(f"the vocabulary has no tokens for {piece!r}")
         while at:
             out.append(last[at])
             at -= size[at]

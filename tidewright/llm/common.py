@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -39,10 +40,12 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one is set only where the setting is empty."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is empty and one machine does all."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         have = spark.sparkContext.getCheckpointDir()
+        if not have and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = have.rsplit("/", 1)[0] if have else "file://" + os.path.join(tempfile.gettempdir(), "tidewright-checkpoints")
     return path
 

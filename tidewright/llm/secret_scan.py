@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -345,7 +347,10 @@ def all_spans(text: str, field: SecretField) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns' spans and of those the field adds, sorted."""
     low = text.encode("utf-8", "surrogatepass").lower()
     base = base_spans(text, low)
-    extra = [(a, 3, b) for a, b in field.spans(text, low) if not any(s < b and a < e for s, _, e in base)]
+    # base spans by start, and how far those up to each reach
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    apart = lambda a, b: (k := bisect_left(starts, b)) == 0 or reach[k - 1] <= a
+    extra = [(a, 3, b) for a, b in field.spans(text, low) if apart(a, b)]
     return sorted(base + extra)
 
 
