@@ -19,11 +19,13 @@ gives no file rows and an empty result; a block whose checksum fails raises an e
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +42,9 @@ END_ID = 2
 #: Ids of a block, and about so many ids in a chunk (whole documents).
 BLOCK_TOKENS, CHUNK_TOKENS = 2048, 8 << 20
 #: Lines of a block's table of predictions; a line has 8 slots of order 1 and 8 of order 2, and fits a cache line.
-LINES = 128
+LINES = 16
 #: Classes of ids, the count that they start from together, and what an id adds to its class.
-CLASSES, PRIOR, GAIN = 64, 4096, 16
+CLASSES, PRIOR, GAIN = 16, 2048, 16
 #: Words whose ids a worker keeps: the latest so many, and as many of the generation before.
 MEMO_WORDS = 500_000
 #: Bytes of text that are encoded at once, and bytes of input for each partition that is written.
@@ -104,10 +106,12 @@ class _Model:
         # id and confidence of a slot as id * _LEVELS + confidence; id 0 with confidence 0 at first
         raw = np.zeros(lanes * LINES * 16 + 16, np.int32)
         self.seen = raw[-raw.ctypes.data // 4 % 16 :]
-        self.line, self.level = lane * (LINES * 16), lane * _LEVELS
+        self.line, self.level = lane * (LINES * 16), lane * _LEVELS + np.array([[0], [lanes * _LEVELS]])
+        # of order 2, then of order 1
         start = np.array([4, 40, 90, 140, 170, 190, 210, 225], np.int32) << 8
-        self.trust_two, self.trust_one = np.tile(start, lanes), np.tile(start >> 1, lanes)
+        self.trust = np.concatenate([np.tile(start, lanes), np.tile(start >> 1, lanes)])
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.at = np.empty((2, lanes), np.int64)
 
         self.share, self.first, self.of_class = zero.share, zero.first, zero.of_class
         self.bits, self.classes = zero.bits, zero.classes
@@ -133,29 +137,30 @@ class _Model:
 
     def predict(self) -> None:
         h = self.last * 40503
-        line = self.line + (h & (LINES - 1) << 4)
-        self.at_one = line + (h >> 12 & 7)
-        self.at_two = line + (self.before * 30011 >> 3 & 7 | 8)
-        two, one = self.seen[self.at_two], self.seen[self.at_one]
-        self.id_two, self.conf_two = two >> 3, two & 7
-        self.id_one, self.conf_one = one >> 3, one & 7
-        self.trust_at_two, self.trust_at_one = self.level + self.conf_two, self.level + self.conf_one
-        self.q_two, self.q_one = self.trust_two[self.trust_at_two], self.trust_one[self.trust_at_one]
-        w_two = 1 + (self.q_two * 247 >> 16)
-        w_one = 1 + ((252 - w_two) * (self.q_one >> 8) >> 8)
-        known = w_two + w_one
-        w_two = np.where(self.id_two == self.id_one, known, w_two)
-        self.w_zero = (256 - known).astype(np.int64)
+        line = (h & LINES - 1) << 4
+        line += self.line
+        np.bitwise_or(line, self.before * 30011 >> 3 & 7 | 8, out=self.at[0])
+        np.bitwise_or(line, h >> 12 & 7, out=self.at[1])
+        seen = self.seen[self.at]
+        self.guess, self.conf = seen >> 3, seen & 7
+        self.trust_at = self.level + self.conf
+        self.q = self.trust[self.trust_at]
+        w_two = self.q[0] * 247 >> 16
+        w_two += 1
+        known = (252 - w_two) * (self.q[1] >> 8) >> 8
+        known += 1
+        known += w_two
+        np.copyto(w_two, known, where=self.guess[0] == self.guess[1])
         shift = _FREQ + self.bits
+        self.w_zero = (256 - known).astype(np.int64)
         self.edge_two, self.edge_one = w_two.astype(np.int64) << shift, known.astype(np.int64) << shift
 
     def span(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of ids ``x`` within the mix; counts the classes of those that no order predicted."""
-        hit_two = self.hit_two = self.id_two == x
-        self.hit_one = self.id_one == x
+        hit_two, hit_one = self.hit = self.guess == x
         start = np.where(hit_two, 0, self.edge_two)
         size = np.where(hit_two, self.edge_two, self.edge_one - self.edge_two)
-        rest = np.flatnonzero(~(hit_two | self.hit_one))
+        rest = np.flatnonzero(~(hit_two | hit_one))
         if len(rest):
             y, weight = x[rest], self.w_zero[rest]
             c = self.of_class[y]
@@ -174,7 +179,7 @@ class _Model:
     def find(self, t: np.ndarray, by_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size) of the spans that hold the places ``t``."""
         two = t < self.edge_two
-        x = np.where(two, self.id_two, self.id_one)
+        x = np.where(two, self.guess[0], self.guess[1])
         start = np.where(two, 0, self.edge_two)
         size = np.where(two, self.edge_two, self.edge_one - self.edge_two)
         rest = np.flatnonzero(t >= self.edge_one)
@@ -197,16 +202,16 @@ class _Model:
             size[rest] = each * self.share[y]
             self.flat_counts[self.count_row[rest] + c] += GAIN
         x = x.astype(np.int64)
-        self.hit_two, self.hit_one = self.id_two == x, self.id_one == x
+        self.hit = self.guess == x
         return x, start, size
 
     def update(self, x: np.ndarray) -> None:
-        hit_two = self.hit_two
-        self.trust_two[self.trust_at_two] = self.q_two + ((hit_two * np.int32(65535) - self.q_two) >> 4)
-        self.trust_one[self.trust_at_one] = np.where(hit_two, self.q_one, self.q_one + ((self.hit_one * np.int32(65535) - self.q_one) >> 4))
-        code = (x << 3).astype(np.int32)
-        self.seen[self.at_two] = code + np.where(hit_two, np.minimum(self.conf_two + 1, _LEVELS - 1), 1)
-        self.seen[self.at_one] = code + np.where(self.hit_one, np.minimum(self.conf_one + 1, _LEVELS - 1), 1)
+        q = self.q
+        q += (self.hit * np.int32(65535) - q) >> 4
+        self.trust[self.trust_at] = q
+        conf = np.where(self.hit, np.minimum(self.conf + 1, _LEVELS - 1), 1)
+        conf += (x << 3).astype(np.int32)
+        self.seen[self.at] = conf
         self.before, self.last = self.last, x
         self.steps += 1
         self.renew()
@@ -328,6 +333,8 @@ def unpack_chunk(data: bytes) -> np.ndarray:
 #: NFC and the splitting steps leave such words as they are.
 _LETTERS, _MARKS = "A-Za-zªµºÀ-ÖØ-öø-įı-ƺƼ-ƿǄ-ȯȲ-ɏ", ".,:;!?"
 _PLAIN = f"^[{_LETTERS}]+[{_MARKS}]?$"
+#: Words of these letters and of ASCII are split here, if no special token can be in them.
+_SIMPLE = regex.compile(rf"(?!.*<\|)[{_LETTERS}!-~]+")
 _MARK_OF_BYTE = np.zeros(256, np.int64)
 _MARK_OF_BYTE[list(_MARKS.encode())] = np.arange(1, len(_MARKS) + 1)
 
@@ -335,8 +342,9 @@ _MARK_OF_BYTE[list(_MARKS.encode())] = np.arange(1, len(_MARKS) + 1)
 class LibraryEncoder:
     """Ids by the tokenizers library, which is asked once for each word that is not kept.
 
-    White space always ends a piece, so words between it are encoded apart: plain words (see ``_PLAIN``) by the library's
-    model, any other word, and every word of a tokenizer with other steps before the model, by the whole library.
+    White space always ends a piece, so words between it are encoded apart: plain and simple words (``_PLAIN``, ``_SIMPLE``),
+    lowered and split, by the library's model, any other word, and every word of a tokenizer with other steps before the
+    model, by the whole library.
     """
 
     def __init__(self, path: str):
@@ -351,13 +359,17 @@ class LibraryEncoder:
         spare = iter(range(256, 512))
         self.chars = [chr(b if b in printable else next(spare)) for b in range(256)]
         #: Ids of plain words without mark, and of other words.
-        self.stems, self.words = _Memo(self._by_model), _Memo(self._by_library)
-        self.plain = self._plain_is_right()
+        self.stems, self.words = _Memo(self._by_model), _Memo(self._by_pieces)
+        steps = (json.loads(self.library.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        found = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and "Regex" in s["pattern"]), None)
+        self.pieces = found and regex.compile(found)
+        self.plain = bool(found) and self._plain_is_right()
 
     def _plain_is_right(self) -> bool:
         """Whether the short way gives the library's ids, tried on every letter and mark in several places."""
         letters = [c for c in map(chr, range(0x250)) if regex.fullmatch(f"[{_LETTERS}]", c)]
         tries = [a + b + m for a in letters for b in ("", "a", "Zé") for m in ("", ".")] + ["Za" + a for a in letters] + ["la" + m for m in _MARKS]
+        tries += [f"aé{chr(a)}{chr(b)}Z{chr(a)}" for a in range(33, 127) for b in (a, 39, 46, 55)] + [f"{x}{w}" for w in ("'S", "'t", "'RE", "'ve", "'m", "'LL", "'d", "'x") for x in ("", "a", "1", ".", "'")]
         self.plain = True
         try:
             ids, n = self.encode(pa.array(tries))
@@ -373,6 +385,14 @@ class LibraryEncoder:
         shown = [w if w.isascii() else "".join([chars[b] for b in w.encode()]) for w in lowered]
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shown]
 
+    def _by_pieces(self, words: list[str]) -> list[bytes]:
+        simple = [self.plain and _SIMPLE.fullmatch(w) is not None for w in words]
+        split = [self.pieces.findall(w.lower()) if s else () for w, s in zip(words, simple, strict=True)]
+        every = list(dict.fromkeys(chain.from_iterable(split)))
+        ids = dict(zip(every, self.stems.of(every), strict=True))
+        rest = iter(self._by_library([w for w, s in zip(words, simple, strict=True) if not s]))
+        return [b"".join([ids[p] for p in pieces]) if s else next(rest) for s, pieces in zip(simple, split, strict=True)]
+
     def entries(self, words: pa.Array) -> list[bytes]:
         """The ids of each of some different words."""
         if not self.plain:
@@ -400,8 +420,8 @@ class LibraryEncoder:
         n = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
         n_word = n[codes]
         ends = np.cumsum(n_word)
-        at = np.repeat((np.cumsum(n) - n)[codes] - (ends - n_word), n_word)
-        at += np.arange(len(at))
+        at = np.repeat(((np.cumsum(n) - n)[codes] - (ends - n_word)).astype(np.int32), n_word)
+        at += np.arange(len(at), dtype=np.int32)
         offsets = split.offsets.to_numpy()
         text_ends = np.concatenate([[0], ends])[offsets - offsets[0]]
         return np.insert(flat[at], text_ends[1:], END_ID), np.diff(text_ends) + 1
