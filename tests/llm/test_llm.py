@@ -198,16 +198,16 @@ def test_topk_search(spark, spread):
     x = rng.normal(0, spread, (700, 6)).astype("float32")
     x[100:160] = x[100]
     rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
-    rows += [(900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 6, 1), (903, [float("inf")] * 6, 1), (904, [], 1), (None, [1.0] * 6, 1), (1000, [1.0, 2.0], 1), (1001, [3.0, 4.0], 1), (5, [0.0] * 6, 1)]
+    rows += [(900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 6, 1), (903, [float("inf")] * 6, 1), (904, [], 1), (None, [1.0] * 6, 1), (1000, [1.0, 2.0], 1), (1001, [3.0, 4.0], 1), (5, [0.0] * 6, 1), (1100, [], 1), (200, [0.5] * 6, 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
     got = [tuple(r) for r in topk_search.top_k(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
-    good = [(i, np.floor(np.array(v, "float32").astype(float) * 1024).astype("int64")) for i, v, _ in rows if i is not None and v and all(e is not None and np.isfinite(e) for e in v)]
+    good = [(i, np.floor(np.array(v, "float32").astype(float) * 1024).astype("int64")) for i, v, _ in rows if i is not None and v is not None and all(e is not None and np.isfinite(e) for e in v)]
     want = []
     for q, a in good:
         if q % 100 == 0:
             scored = sorted((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b))
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
-    assert got == sorted(want)
+    assert sorted(got) == sorted(want)
     nothing = df.where("false")
     assert topk_search.top_k(nothing, nothing).count() == 0
 
@@ -249,6 +249,15 @@ def test_secret_scan(docs, empty):
     assert secret_scan.scan(empty, field=field).count() == 0
 
 
+def test_secret_selection_by_brute_force():
+    field = secret_scan.default_field()
+    for line, secret in secret_scan.training_lines(300, seed=5):
+        text = f"{line}\ntoken = {secret or 'abcdefgh12345678'} {line}"
+        base = secret_scan.base_spans(text)
+        extra = [(a, 3, b) for a, b in field.spans(text) if not any(s < b and a < e for s, _, e in base)]
+        assert secret_scan.all_spans(text, field) == sorted(base + extra)
+
+
 def test_secret_field_on_new_lines():
     field = secret_scan.default_field()
     found = wrong = total = 0
