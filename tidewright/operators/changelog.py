@@ -25,6 +25,8 @@ def materialise(changes: DataFrame) -> DataFrame:
 
     One partial aggregation and one shuffle on the rows; retractions of unknown rows have no effect.
     """
+    if ROW_KIND not in changes.columns:  # inserts only
+        return changes
     columns = [c for c in changes.columns if c not in (ROW_KIND, "_seq")]
     sign = F.when(F.col(ROW_KIND).isin(*ADDITIONS), 1).otherwise(-1)
     counted = changes.groupBy(*columns).agg(F.sum(sign).alias("_n")).where("_n > 0")

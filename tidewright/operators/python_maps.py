@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import logging
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 
 from tidewright.errors import EngineError
 
+_LOG = logging.getLogger(__name__)
+
 #: Rows that are looked at to infer the schema of a function's results.
 SAMPLE = 50
 
@@ -26,21 +29,23 @@ def build(fn: Any, args: Iterable = (), kwargs: Mapping | None = None) -> Callab
     return fn(*args, **(kwargs or {})) if inspect.isclass(fn) else fn
 
 
-def _inferred(df: DataFrame, one: Callable[[list[dict]], list[Mapping]], schema: StructType | str | None) -> StructType:
+def _inferred(df: DataFrame, make: Callable[[], Callable[[list[dict]], Iterable[Mapping]]], schema: StructType | str | None) -> StructType:
     if schema is not None:
         return StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if df.isStreaming:
         raise EngineError("a function on a stream needs schema=")
-    rows = one([r.asDict(recursive=True) for r in df.limit(SAMPLE).collect()])
+    rows = make()([r.asDict(recursive=True) for r in df.limit(SAMPLE).collect()])
     if not rows:
         raise EngineError("no row to infer the schema from; give schema=")
     return from_arrow_schema(pa.Table.from_pylist([dict(r) for r in rows]).schema)
 
 
-def _rows(df: DataFrame, work: Callable[[list[dict]], Iterable[Mapping]], schema: StructType) -> DataFrame:
+def _rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], Iterable[Mapping]]], schema: StructType) -> DataFrame:
+    """``make`` is called once for each task and returns the function from a batch's rows to new rows."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
         for batch in batches:
             out = list(work(batch.to_pylist()))
             for r in out:
@@ -51,8 +56,24 @@ def _rows(df: DataFrame, work: Callable[[list[dict]], Iterable[Mapping]], schema
     return df.mapInArrow(run, schema)
 
 
+def _is_async(fn: Callable) -> bool:
+    return inspect.iscoroutinefunction(fn) or inspect.iscoroutinefunction(getattr(fn, "__call__", None))
+
+
 def _guarded(fn: Callable, ignore: bool) -> Callable:
-    """With ``ignore``, a record whose function fails is dropped."""
+    """With ``ignore``, a record whose function fails is dropped, and the failure logged; coroutine functions stay such."""
+
+    async def call_async(x: Any) -> Any:
+        try:
+            return await fn(x)
+        except Exception:
+            if not ignore:
+                raise
+            _LOG.warning("a record is dropped, as its function failed", exc_info=True)
+            return None
+
+    if _is_async(fn):
+        return call_async
 
     def call(x: Any) -> Any:
         try:
@@ -60,6 +81,7 @@ def _guarded(fn: Callable, ignore: bool) -> Callable:
         except Exception:
             if not ignore:
                 raise
+            _LOG.warning("a record is dropped, as its function failed", exc_info=True)
             return None
 
     return call
@@ -67,18 +89,19 @@ def _guarded(fn: Callable, ignore: bool) -> Callable:
 
 def _applied(fn: Callable, rows: list[dict], limit: int | None) -> list[Any]:
     """Results in input order; coroutine functions run up to ``limit`` at a time."""
-    target = fn if inspect.iscoroutinefunction(fn) else getattr(fn, "__call__", None)
-    if not inspect.iscoroutinefunction(target):
+    if not _is_async(fn):
         return [fn(r) for r in rows]
 
     async def gather() -> list[Any]:
-        gate = asyncio.Semaphore(limit or 8)
+        out: list[Any] = [None] * len(rows)
+        left = iter(enumerate(rows))
 
-        async def one(r: dict) -> Any:
-            async with gate:
-                return await fn(r)
+        async def worker() -> None:  # each takes the next row when it is done with one
+            for i, r in left:
+                out[i] = await fn(r)
 
-        return await asyncio.gather(*(one(r) for r in rows))
+        await asyncio.gather(*(worker() for _ in range(min(limit or 8, len(rows)))))
+        return out
 
     return asyncio.run(gather())
 
@@ -86,40 +109,50 @@ def _applied(fn: Callable, rows: list[dict], limit: int | None) -> list[Any]:
 def map_rows(df: DataFrame, fn: Any, *, args: Iterable = (), kwargs: Mapping | None = None, schema: StructType | str | None = None, ignore_errors: bool = False, async_buffer_size: int | None = None) -> DataFrame:
     """One record in, one record out."""
 
-    def work(rows: list[dict]) -> list[Mapping]:
-        out = _applied(_guarded(build(fn, args, kwargs), True) if ignore_errors else build(fn, args, kwargs), rows, async_buffer_size)
-        return [r for r in out if r is not None] if ignore_errors else out
+    def make() -> Callable[[list[dict]], list[Mapping]]:
+        f = build(fn, args, kwargs)
+        f = _guarded(f, True) if ignore_errors else f
+
+        def work(rows: list[dict]) -> list[Mapping]:
+            out = _applied(f, rows, async_buffer_size)
+            return [r for r in out if r is not None] if ignore_errors else out
+
+        return work
 
-    return _rows(df, work, _inferred(df, work, schema))
+    return _rows(df, make, _inferred(df, make, schema))
 
 
 def flat_map(df: DataFrame, fn: Any, *, args: Iterable = (), kwargs: Mapping | None = None, schema: StructType | str | None = None, ignore_errors: bool = False) -> DataFrame:
     """One record in, any number out, in order."""
 
-    def work(rows: list[dict]) -> list[Mapping]:
+    def make() -> Callable[[list[dict]], list[Mapping]]:
         f = _guarded(build(fn, args, kwargs), ignore_errors)
-        return [x for r in rows for x in (f(r) or ())]
+        return lambda rows: [x for made in _applied(f, rows, None) for x in (made or ())]
 
-    return _rows(df, work, _inferred(df, work, schema))
+    return _rows(df, make, _inferred(df, make, schema))
 
 
 def filter_rows(df: DataFrame, fn: Any, *, args: Iterable = (), kwargs: Mapping | None = None, batch_size: int | None = None) -> DataFrame:
     """Rows for which ``fn`` is true; with ``batch_size`` it gets lists of rows and returns as many booleans."""
 
-    def work(rows: list[dict]) -> list[dict]:
+    def make() -> Callable[[list[dict]], list[dict]]:
         f = build(fn, args, kwargs)
-        if batch_size is None:
-            return [r for r in rows if f(r)]
-        out = []
-        for at in range(0, len(rows), batch_size):
-            part = rows[at : at + batch_size]
-            keep = list(f([dict(r) for r in part]))
-            if len(keep) != len(part):
-                raise EngineError("a batch filter must return one boolean for each row")
-            out += [r for r, k in zip(part, keep, strict=True) if k]
-        return out
 
-    return _rows(df, work, df.schema)
+        def work(rows: list[dict]) -> list[dict]:
+            if batch_size is None:
+                return [r for r, k in zip(rows, _applied(f, rows, None), strict=True) if k]
+            out = []
+            for at in range(0, len(rows), batch_size):
+                part = rows[at : at + batch_size]
+                keep = list(f([dict(r) for r in part]))
+                if len(keep) != len(part):
+                    raise EngineError("a batch filter must return one boolean for each row")
+                out += [r for r, k in zip(part, keep, strict=True) if k]
+            return out
+
+        return work
+
+    return _rows(df, make, df.schema)
 
 
 def _to_format(batch: pa.Table, kind: str) -> Any:
@@ -145,12 +178,26 @@ def _to_table(out: Any) -> pa.Table:
     return pa.table({k: pa.array(list(v)) for k, v in out.items()})
 
 
+def _regrouped(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.Table]:
+    """The batches as they come, or, where ``size`` is larger, joined up to so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = sum(b.num_rows for b in held)
+        if not size or rows >= size:
+            table = pa.Table.from_batches(held)
+            whole = rows - rows % size if size else rows
+            yield table.slice(0, whole)
+            held = table.slice(whole).to_batches() if whole < rows else []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def map_batches(df: DataFrame, fn: Any, *, batch_size: int | None = None, batch_format: str = "default", args: Iterable = (), kwargs: Mapping | None = None, schema: StructType | str | None = None) -> DataFrame:
     """Column batches in, column batches out; ``batch_size`` is an upper bound."""
 
-    def pieces(table: pa.Table) -> Iterator[pa.Table]:
+    def pieces(f: Callable, table: pa.Table) -> Iterator[pa.Table]:
         step = batch_size or max(1, table.num_rows)
-        f = build(fn, args, kwargs)
         for at in range(0, table.num_rows, step):
             yield _to_table(f(_to_format(table.slice(at, step), batch_format)))
 
@@ -158,7 +205,7 @@ def map_batches(df: DataFrame, fn: Any, *, batch_size: int | None = None, batch_
         if df.isStreaming:
             raise EngineError("a function on a stream needs schema=")
         sample = pa.Table.from_pylist([r.asDict(recursive=True) for r in df.limit(SAMPLE).collect()], schema=to_arrow_schema(df.schema))
-        made = list(pieces(sample))
+        made = list(pieces(build(fn, args, kwargs), sample))
         if not made:
             raise EngineError("no row to infer the schema from; give schema=")
         kind = from_arrow_schema(made[0].schema)
@@ -167,8 +214,9 @@ def map_batches(df: DataFrame, fn: Any, *, batch_size: int | None = None, batch_
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in pieces(pa.Table.from_batches([batch])):
+        f = build(fn, args, kwargs)
+        for table in _regrouped(batches, batch_size):
+            for out in pieces(f, table):
                 yield from out.select(arrow.names).cast(arrow).to_batches()
 
     return df.mapInArrow(run, kind)
@@ -211,6 +259,7 @@ def map_reduce(df: DataFrame, key: str, preprocess: Callable, process: Callable,
         out = postprocess({f.name: rows[f.name].tolist() for f in parts})
         return pd.DataFrame([out])[[f.name for f in outer]]
 
-    spread = _rows(df, split, wide).hint("rebalance") if not df.isStreaming else _rows(df, split, wide)
-    done = _rows(spread, batch, wide)
+    spread = _rows(df, lambda: split, wide)
+    spread = spread if df.isStreaming else spread.hint("rebalance")
+    done = _rows(spread, lambda: batch, wide)
     return done.groupBy(F.col("_id")).applyInPandas(join, outer)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -39,6 +40,11 @@ SHARED_SQL = {
     "agg_group_expr": "SELECT user_id % 7 AS bucket, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY user_id % 7",
     "agg_count_null": "SELECT event_type, COUNT(*) AS n, COUNT(CASE WHEN value > 50 THEN value END) AS n_high FROM events GROUP BY event_type",
     "agg_expression": "SELECT event_type, ROUND(SUM(value) / COUNT(*), 4) AS mean, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type HAVING COUNT(*) > 1",
+    "join_anti_some": "SELECT c_custkey, c_name FROM customer c LEFT ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000) o ON c.c_custkey = o.o_custkey",
+    "except_offset": "SELECT k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000) ORDER BY k LIMIT 20 OFFSET 5",
+    "filter_ilike": "SELECT p_partkey FROM part WHERE p_type ILIKE '%s%' OR p_name NOT LIKE '%a%'",
+    "fn_arcs": "SELECT p_partkey, ROUND(ACOS(p_size / 100.0), 8) AS ac, ROUND(ASIN(p_size / 100.0), 8) AS si, ROUND(ATAN(p_size), 8) AS ta, ROUND(LOG(2, p_size), 8) AS l2, ROUND(LOG(10, p_size), 8) AS l10 FROM part",
+    "recursive_cte": "WITH RECURSIVE c(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM c WHERE n < 30) SELECT n, r_name FROM c JOIN region r ON c.n = r.r_regionkey",
     "group_only": "SELECT o_orderstatus FROM orders GROUP BY o_orderstatus",
     "order_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "topn_agg": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10",
@@ -62,6 +68,18 @@ PAIRED_SQL = {
     "fn_array_map": ("SELECT p_partkey, ARRAY_SIZE(ARRAY(p_size, 1, 2)) AS n, MAP('size', p_size)['size'] AS size, TO_JSON(ARRAY(p_size, 1)) AS js FROM part", "SELECT p_partkey, 3::INT AS n, p_size AS size, '[' || p_size || ',1]' AS js FROM part"),
     "fn_hash": ("SELECT p_partkey, MD5(p_name) AS m, SHA2(p_name, 256) AS s, BASE64(CAST(p_brand AS BINARY)) AS b, CAST(UNBASE64(BASE64(CAST(p_brand AS BINARY))) AS STRING) AS back FROM part", "SELECT p_partkey, md5(p_name) AS m, sha256(p_name) AS s, base64(p_brand::BLOB) AS b, p_brand AS back FROM part"),
     "fn_trunc_cast": ("SELECT p_partkey, TRUNC(p_retailprice) AS t, CAST(p_size AS DECIMAL) AS d, IF(p_size > 10, 'big', 'small') AS s FROM part", "SELECT p_partkey, trunc(p_retailprice)::BIGINT AS t, p_size::DOUBLE AS d, CASE WHEN p_size > 10 THEN 'big' ELSE 'small' END AS s FROM part"),
+    "fn_floor_mod": (
+        "SELECT event_id, (event_id - 500) % 7 AS a, -event_id % 3 AS b, event_id * 3 % -5 AS c, user_id - event_id % 4 AS d FROM events",
+        "SELECT event_id, (event_id - 500) - 7 * floor((event_id - 500) / 7)::BIGINT AS a, -event_id - 3 * floor(-event_id / 3)::BIGINT AS b, event_id * 3 + 5 * floor(event_id * 3 / -5)::BIGINT AS c, user_id - event_id % 4 AS d FROM events",
+    ),
+    "fn_string_edges": (
+        "SELECT p_partkey, SUBSTRING(p_brand, -30, 4) AS head, SUBSTRING(p_brand, -3, 2) AS tail, TRIM(CONCAT(' \t', p_name, ' \n ')) AS trimmed, STARTSWITH(p_name, 'a') AS s, ENDSWITH(p_name, 'e') AS e, CONTAINS(p_name, 'b') AS c, LENGTH(CONCAT('  ', p_name)) AS n FROM part",
+        "SELECT p_partkey, p_brand[:4] AS head, substr(p_brand, -3, 2) AS tail, trim(p_name) AS trimmed, starts_with(p_name, 'a') AS s, ends_with(p_name, 'e') AS e, contains(p_name, 'b') AS c, (length(p_name) + 2)::INT AS n FROM part",
+    ),
+    "fn_json_scalars": (
+        "SELECT event_id, TO_JSON(event_id) AS i, TO_JSON(event_type) AS s, TO_JSON(NULLIF(event_type, 'click')) AS z, GET_JSON_OBJECT(TO_JSON(PARSE_JSON(props)), '$.k') AS k FROM events",
+        "SELECT event_id, event_id::VARCHAR AS i, '\"' || event_type || '\"' AS s, '\"' || nullif(event_type, 'click') || '\"' AS z, json_extract_string(props, '$.k') AS k FROM events",
+    ),
     "scalar_select": ("SELECT 1 + 2 AS three, 'x' AS x", "SELECT 3::INT AS three, 'x' AS x"),
 }
 
@@ -219,6 +237,28 @@ def stream_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.materialise(run.drain(changes)).select("o_orderkey", "c_name")
 
 
+def _continuous(text: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """SQL over file streams; the table that its changes amount to."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = pipeline(spark)
+        for t in tables:
+            schema = spark.read.parquet(f"{sf_dir}/{t}.parquet").schema
+            p.create_temp_view(t, p.stream(spark.readStream.schema(schema).parquet(f"{sf_dir}/{t}.parquet*")))
+        return p.sql(text, tables={}).materialise().df
+
+    return query
+
+
+#: Continuous SQL: (text, tables); DuckDB runs the same text without hints.
+CONTINUOUS_SQL = {
+    "stream_sql_agg": ("SELECT event_type, COUNT(*) AS n, SUM(user_id) AS users_sum, MIN(value) AS low, MAX(value) AS high, ROUND(AVG(value), 4) AS mean FROM events WHERE value > 5 GROUP BY event_type HAVING COUNT(*) > 1", ("events",)),
+    "stream_sql_join": ("SELECT n.n_name AS n_name, s.s_name AS s_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s_acctbal > 0 AND n_regionkey BETWEEN 1 AND 3", ("supplier", "nation")),
+    "stream_sql_topn": ("SELECT event_id, value FROM events WHERE user_id % 2 = 0 ORDER BY value DESC, event_id LIMIT 10", ("events",)),
+    "stream_sql_ttl": ("SELECT /*+ STATE_TTL('c' = '1 d', 'n' = '2 d') */ n.n_name AS n_name, COUNT(*) AS n, ROUND(MAX(c.c_acctbal), 2) AS most FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name ORDER BY n DESC, n_name LIMIT 6", ("customer", "nation")),
+}
+
+
 def stream_topn_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.use_rocksdb(spark)
     rows = _event_stream(spark, sf_dir).select("event_id", (F.col("value") * 1000000 + F.col("event_id")).alias("score"))
@@ -299,9 +339,11 @@ _PYTHON: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: _sql(t) for n, t in SHARED_SQL.items()} | {n: _sql(t) for n, (t, _) in PAIRED_SQL.items()}
+    out |= {n: _continuous(t, *tables) for n, (t, tables) in CONTINUOUS_SQL.items()}
     return out | {n: f for n, (f, _) in _PYTHON.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     shared = {n: t.replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN") for n, t in SHARED_SQL.items()}
+    shared |= {n: re.sub(r"/\*\+.*?\*/", "", t) for n, (t, _) in CONTINUOUS_SQL.items()}
     return shared | {n: t for n, (_, t) in PAIRED_SQL.items()} | {n: t for n, (_, t) in _PYTHON.items() if t}

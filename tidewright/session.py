@@ -16,7 +16,9 @@ from tidewright.errors import EngineError, SQLQueryError
 from tidewright.functions import ai, download, media
 from tidewright.operators.changelog import ALL_KINDS, INSERT_ONLY, ROW_KIND
 from tidewright.plans import ddl
+from tidewright.plans.continuous import plan_continuous
 from tidewright.plans.gate import AI_NAMES, RESERVED_AI, check_name, check_streaming, gate
+from tidewright.plans.lexer import Token, calls, tokens
 from tidewright.sources import custom, kafka, sinks
 from tidewright.sources.canal import decode_canal
 from tidewright.sources.tables import CatalogTable, TableFactory, default_factories
@@ -176,7 +178,8 @@ class Pipeline:
     def _query(self, query: str, bound: Mapping[str, DataStream], functions: Mapping[str, Callable]) -> DataStream:
         gated = gate(query, media.NAMES)
         text = gated.sql
-        words = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text)}
+        toks = tokens(text)
+        words = {toks[i].text.strip("`").lower() for i in _table_places(toks)}
         sources = {**{k: v for k, v in self.views.items()}, **bound}
         used = {n: s for n, s in sources.items() if n in words}
         for n, t in self.tables.items():
@@ -189,30 +192,30 @@ class Pipeline:
         if unbounded:
             check_streaming(text)
         text = self._bind_functions(text, gated.functions, functions)
+        if unbounded:
+            try:
+                planned = plan_continuous(text, used, gated.state_ttl)
+            except (AnalysisException, ParseException) as e:
+                raise SQLQueryError(str(e)) from e
+            if planned is not None:
+                return DataStream(self, *planned, from_sql=True)
+            if gated.state_ttl:
+                raise SQLQueryError("STATE_TTL needs a continuous query of one SELECT block with a join or an aggregate")
         token = uuid.uuid4().hex[:10]
         for n, s in used.items():
             s.df.createOrReplaceTempView(f"tw_{token}_{n}")
         try:
-            from tidewright.plans.lexer import tokens
-
             ctes = {m.lower() for m in re.findall(r"(?:\bWITH|,)\s*([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\(", text, re.IGNORECASE)}
             toks = tokens(text)
-            out, in_from = [], False
+            places, out = set(_table_places(toks)), []
             for i, t in enumerate(toks):
                 word = t.text.strip("`").lower()
-                if t.kind in ("word", "quoted") and in_from and word in used and word not in ctes:
+                if i in places and word in used and word not in ctes:
                     following = next((x for x in toks[i + 1 :] if x.kind != "space"), None)
                     alias = following is not None and (following.kind in ("word", "quoted") and not following.is_word(*_AFTER_TABLE))
                     out.append(f"tw_{token}_{word}" + ("" if alias else f" AS {word}"))
-                    in_from = False
-                    continue
-                if t.is_word("FROM", "JOIN"):
-                    in_from = True
-                elif t.kind != "space" and not (t.text == "," and _in_from_list(toks, i)) and not t.is_word("LATERAL"):
-                    in_from = False
-                elif t.text == ",":
-                    in_from = True
-                out.append(t.text)
+                else:
+                    out.append(t.text)
             df = self.spark.sql("".join(out))
         except (AnalysisException, ParseException) as e:
             raise SQLQueryError(str(e).replace(f"tw_{token}_", "")) from e
@@ -227,7 +230,7 @@ class Pipeline:
             else:
                 raise SQLQueryError(f"the output has the column {sorted(twice)[0]} twice")
         kinds = frozenset().union(*(s.kinds for s in used.values())) if used else INSERT_ONLY
-        return DataStream(self, df, kinds if ROW_KIND in df.columns else INSERT_ONLY)
+        return DataStream(self, df, kinds if ROW_KIND in df.columns else INSERT_ONLY, from_sql=True)
 
     def _bind_functions(self, text: str, called: set[str], local: Mapping[str, Callable]) -> str:
         """Registers the functions that a query calls under names of their own, so that a query's own can differ."""
@@ -246,12 +249,14 @@ class Pipeline:
                 continue
             own = f"tw_{name}_{id(fn):x}"
             self.spark.udf.register(own, fn, kind)
-            text = re.sub(rf"\b{name}(?=\s*\()", own, text, flags=re.IGNORECASE)
             arity = _arity(fn)
-            from tidewright.plans.lexer import calls, tokens
-
-            for c in calls(tokens(text)):
-                if c.name == own.upper() and arity and not arity[0] <= len(c.args) <= arity[1]:
+            toks = tokens(text)
+            found = [c for c in calls(toks) if c.name == name.upper()]
+            for c in found:
+                toks[c.start] = Token("word", own)
+            text = "".join(t.text for t in toks)
+            for c in found:
+                if arity and not arity[0] <= len(c.args) <= arity[1]:
                     raise SQLQueryError(f"{name} takes {arity[0]} to {arity[1]} arguments, not {len(c.args)}")
         return text
 
@@ -302,6 +307,20 @@ class Pipeline:
 _AFTER_TABLE = ("WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "ON", "USING", "GROUP", "ORDER", "LIMIT", "UNION", "HAVING", "INTERSECT", "EXCEPT", "LATERAL", "WINDOW", "NATURAL", "SEMI", "ANTI", "OFFSET", "TABLESAMPLE", "PIVOT")
 
 
+def _table_places(toks: list[Token]) -> list[int]:
+    """Positions of names that stand where a table stands."""
+    out, in_from = [], False
+    for i, t in enumerate(toks):
+        if in_from and t.kind in ("word", "quoted") and not t.is_word("LATERAL"):
+            out.append(i)
+            in_from = False
+        elif t.is_word("FROM", "JOIN") or t.text == "," and _in_from_list(toks, i):
+            in_from = True
+        elif t.kind not in ("space", "hint") and not t.is_word("LATERAL"):
+            in_from = False
+    return out
+
+
 def _in_from_list(toks: list, at: int) -> bool:
     """Whether the comma at ``at`` stands between tables."""
     depth = 0

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import TYPE_CHECKING, Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewright.duration import milliseconds
-from tidewright.errors import EngineError, ResultOverflowError
+from tidewright.errors import EngineError, ResultOverflowError, SQLQueryError
 from tidewright.operators import interval_join, placement, python_maps, windows
 from tidewright.operators.changelog import ALL_KINDS, INSERT_ONLY, materialise
 from tidewright.sources import custom, kafka, sinks
@@ -32,11 +34,11 @@ def _options(kwargs: dict) -> dict:
 class DataStream:
     """A lazy table.  Transformations give new streams, terminals run them; other DataFrame methods work by name."""
 
-    def __init__(self, owner: Pipeline, df: DataFrame, kinds: frozenset[str] = INSERT_ONLY):
-        self.owner, self.df, self.kinds = owner, df, kinds
+    def __init__(self, owner: Pipeline, df: DataFrame, kinds: frozenset[str] = INSERT_ONLY, from_sql: bool = False):
+        self.owner, self.df, self.kinds, self.from_sql = owner, df, kinds, from_sql
 
     def _next(self, df: DataFrame, kinds: frozenset[str] | None = None) -> DataStream:
-        return DataStream(self.owner, df, self.kinds if kinds is None else kinds)
+        return DataStream(self.owner, df, self.kinds if kinds is None else kinds, self.from_sql)
 
     def __getattr__(self, name: str) -> Any:
         if name.startswith("_"):
@@ -159,12 +161,23 @@ class DataStream:
     def _bounded(self) -> DataFrame:
         return run.drain(self.df) if self.df.isStreaming else self.df
 
+    @contextmanager
+    def _sql_errors(self) -> Iterator[None]:
+        """Errors inside the expressions of a query are the query's."""
+        try:
+            yield
+        except PySparkException as e:
+            if self.from_sql:
+                raise SQLQueryError(str(e)) from e
+            raise
+
     def collect(self, limit: int | None = None) -> list[Row]:
         """All rows; an error if there are more than ``limit``."""
-        df = self._bounded()
-        if limit is None:
-            return df.collect()
-        rows = df.limit(limit + 1).collect()
+        with self._sql_errors():
+            df = self._bounded()
+            if limit is None:
+                return df.collect()
+            rows = df.limit(limit + 1).collect()
         if len(rows) > limit:
             raise ResultOverflowError(f"more than {limit} rows")
         return rows
@@ -174,10 +187,12 @@ class DataStream:
     def take(self, limit: int = 20) -> list[Row]:
         if isinstance(limit, bool) or not isinstance(limit, int) or limit < 0:
             raise EngineError("take needs a number of rows, 0 or more")
-        return self._bounded().take(limit)
+        with self._sql_errors():
+            return self._bounded().take(limit)
 
     def show(self, limit: int = 20) -> None:
-        self._bounded().show(limit, truncate=False)
+        with self._sql_errors():
+            self._bounded().show(limit, truncate=False)
 
     def schema(self) -> Any:
         return self.df.schema

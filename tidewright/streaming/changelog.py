@@ -1,27 +1,55 @@
 """Continuous aggregate, join and top-n that publish inserts, updates and deletes.
 
 State lives in Spark's state store, one entry per group, value or row, so that a large group isn't one large object.  The
-materialised result of the changes equals the batch answer; their order is kept within a key.
+materialised result of the changes equals the batch answer; their order is kept within a key.  An aggregate over
+insert-only input is formed in parts before the shuffle, and publishes one change for each group and micro-batch.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import math
 from collections.abc import Iterator
+from decimal import Decimal, localcontext
 from fractions import Fraction
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DecimalType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidewright.errors import EngineError
 from tidewright.operators.changelog import ADDITIONS, ROW_KIND, with_kind
 
 _KIND = StructField(ROW_KIND, StringType(), False)
-_NAN = "nan"
+#: How rows become text and back without loss.
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _tag(value: Any) -> dict:
+    for name, kind in (("timestamp", datetime.datetime), ("date", datetime.date)):
+        if isinstance(value, kind):
+            return {name: value.isoformat()}
+    return {"decimal": str(value)} if isinstance(value, Decimal) else {"binary": bytes(value).hex()}
+
+
+def _untag(value: dict) -> Any:
+    made = {"timestamp": datetime.datetime.fromisoformat, "date": datetime.date.fromisoformat, "decimal": Decimal, "binary": bytes.fromhex}
+    name, text = next(iter(value.items())) if len(value) == 1 else ("", None)
+    return made[name](text) if name in made and isinstance(text, str) else value
+
+
+def _dump(value: Any) -> str:
+    return json.dumps(value, default=_tag)
+
+
+def _load(text: str) -> Any:
+    return json.loads(text, object_hook=_untag)
 
 
 class ExactSum:
@@ -68,7 +96,7 @@ class AggregateProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         n, parts = self.state.get() if self.state.exists() else (0, None)
-        parts = json.loads(parts) if parts else {}
+        parts = _load(parts) if parts else {}
         shown = self._result(n, parts) if n else None
         for row in rows:
             sign = 1 if row[ROW_KIND] in ADDITIONS else -1
@@ -92,7 +120,7 @@ class AggregateProcessor(StatefulProcessor):
                 yield self._row(key, new, "+U")
             shown = new
         if n:
-            self.state.update((n, json.dumps(parts)))
+            self.state.update((n, _dump(parts)))
         else:
             self.state.clear()
 
@@ -108,7 +136,7 @@ class AggregateProcessor(StatefulProcessor):
             if self.values is None:
                 part["best"] = value if part["n"] == 1 else better(part["best"], value, key=_order)
                 return
-            entry = (name, json.dumps(value))
+            entry = (name, _dump(value))
             have = self.values.getValue(entry)[0] if self.values.containsKey(entry) else 0
             if have + sign > 0:
                 self.values.updateValue(entry, (have + sign,))
@@ -119,7 +147,7 @@ class AggregateProcessor(StatefulProcessor):
             elif sign > 0:
                 part["best"] = value if "best" not in part else better(part["best"], value, key=_order)
             elif have + sign <= 0 and repr(part.get("best")) == repr(value):
-                part["best"] = better((json.loads(v) for (a, v), _ in self.values.iterator() if a == name), key=_order)
+                part["best"] = better((_load(v) for (a, v), _ in self.values.iterator() if a == name), key=_order)
 
     def _result(self, n: int, parts: dict) -> dict[str, Any]:
         out = {}
@@ -130,7 +158,8 @@ class AggregateProcessor(StatefulProcessor):
             elif not part["n"]:
                 out[name] = None
             elif function == "sum":
-                value = ExactSum(part["sum"]).value()
+                total = ExactSum(part["sum"])
+                value = total.value() if self.kinds[name] != "decimal" else _decimal(total.total)
                 out[name] = float(value) if self.kinds[name] == "double" else value
             elif function == "avg":
                 total = ExactSum(part["sum"])
@@ -146,6 +175,101 @@ class AggregateProcessor(StatefulProcessor):
         pass
 
 
+def _decimal(value: Fraction) -> Decimal:
+    with localcontext() as c:
+        c.prec = 76
+        return Decimal(value.numerator) / Decimal(value.denominator)
+
+
+def _time_mode(*ttl: int | None) -> str:
+    """Spark lets state expire in queries on processing time only."""
+    return "None" if all(t is None for t in ttl) else "ProcessingTime"
+
+
+class PartialAggregateProcessor(AggregateProcessor):
+    """For insert-only input that ``_partials`` has aggregated: adds the parts, and publishes once for each call."""
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        n, parts = self.state.get() if self.state.exists() else (0, None)
+        parts = _load(parts) if parts else {}
+        shown = self._result(n, parts) if n else None
+        sums = {name: ExactSum(part["sum"]) for name, part in parts.items() if "sum" in part}
+        for row in rows:
+            n += row["_n"]
+            for name, (function, column) in self.aggregates.items():
+                if column is None or not row[f"_n_{name}"]:
+                    continue
+                part = parts.setdefault(name, {"n": 0})
+                part["n"] += row[f"_n_{name}"]
+                value = row[f"_v_{name}"] if function != "count" else None
+                if function in ("sum", "avg"):
+                    whole = isinstance(value, Decimal) and value == value.to_integral_value() and self.inputs[name] != "decimal"
+                    sums.setdefault(name, ExactSum()).add(int(value) if whole else value, 1)
+                elif function in ("min", "max"):
+                    some = [v for v in (value, math.nan if row[f"_nan_{name}"] else None, part.get("best")) if v is not None]
+                    part["best"] = (max if function == "max" else min)(some, key=_order)
+        for name, total in sums.items():
+            parts[name]["sum"] = total.text()
+        new = self._result(n, parts)
+        if shown is None:
+            yield self._row(key, new, "+I")
+        elif repr(new) != repr(shown):
+            yield self._row(key, shown, "-U")
+            yield self._row(key, new, "+U")
+        self.state.update((n, _dump(parts)))
+
+
+def _partials(changes: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """For each Arrow batch and key: ``_n`` rows, and for each aggregate of a column ``_n_`` values, ``_nan_`` of them NaN, and their sum, minimum or maximum."""
+    types = {f.name: f.dataType for f in changes.schema}
+    fields = [StructField(k, types[k]) for k in keys] + [StructField("_n", LongType())]
+    work: list[tuple[str, str, str, str]] = []
+    for name, (function, column) in aggregates.items():
+        if column is None:
+            continue
+        kind = types[column].typeName()
+        fields.append(StructField(f"_n_{name}", LongType()))
+        if function != "count":
+            fields.append(StructField(f"_nan_{name}", LongType()))
+            total = DoubleType() if kind in ("double", "float") else DecimalType(38, types[column].scale if kind == "decimal" else 0)
+            fields.append(StructField(f"_v_{name}", total if function in ("sum", "avg") else types[column]))
+        work.append((name, function, column, kind))
+    schema = StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if pc.any(pc.invert(pc.is_in(batch.column(ROW_KIND), pa.array(ADDITIONS)))).as_py():
+                raise EngineError("a retraction reached an aggregate over an insert-only input")
+            columns = {k: batch.column(k) for k in keys}
+            asked: list[tuple] = [([], "count_all")]
+            for name, function, column, kind in work:
+                x = batch.column(column)
+                columns[f"n_{name}"] = x
+                asked.append((f"n_{name}", "count"))
+                if function == "count":
+                    continue
+                real = kind in ("double", "float")
+                nan = pc.fill_null(pc.is_nan(x), False) if real else pa.array([False] * len(x), pa.bool_())
+                columns[f"nan_{name}"] = nan.cast(pa.int64())
+                asked.append((f"nan_{name}", "sum"))
+                if function in ("sum", "avg"):
+                    # as decimals, whole numbers can't overflow within a batch
+                    columns[f"v_{name}"] = x.cast(pa.float64()) if real else x.cast(pa.decimal128(38, schema[f"_v_{name}"].dataType.scale))
+                    asked.append((f"v_{name}", "sum"))
+                else:
+                    columns[f"v_{name}"] = pc.if_else(nan, pa.scalar(None, x.type), x)
+                    asked.append((f"v_{name}", function))
+            table = pa.table(columns).group_by(list(keys), use_threads=False).aggregate(asked)
+            out = [*(table[k] for k in keys), table["count_all"]]
+            for name, function, _, _ in work:
+                out.append(table[f"n_{name}_count"])
+                if function != "count":
+                    out += [table[f"nan_{name}_sum"], table[f"v_{name}_{'sum' if function in ('sum', 'avg') else function}"]]
+            yield from pa.table(out, names=schema.names).cast(to_arrow_schema(schema)).to_batches()
+
+    return changes.mapInArrow(run, schema)
+
+
 def aggregate_changes(changes: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str | None]], retractable: bool = True, ttl: int | None = None) -> DataFrame:
     """The changelog of ``SELECT keys, aggregates ... GROUP BY keys`` over a changelog."""
     changes = with_kind(changes)
@@ -157,13 +281,18 @@ def aggregate_changes(changes: DataFrame, keys: list[str], aggregates: dict[str,
     for name, (function, column) in aggregates.items():
         kind = types[column] if column else LongType()
         kind = LongType() if function == "count" else "double" if function == "avg" else kind
-        if function == "sum":
-            kind = "double" if kind.typeName() in ("double", "float") else LongType()
+        if function == "sum" and kind != "double":
+            name_of = kind.typeName()
+            kind = "double" if name_of in ("double", "float") else DecimalType(38, kind.scale) if name_of == "decimal" else LongType()
         fields.append(StructField(name, StructType.fromDDL("x double")[0].dataType if kind == "double" else kind))
         kinds[name] = fields[-1].dataType.typeName()
     schema = StructType([*(StructField(k, types[k]) for k in keys), *fields, _KIND])
-    processor = AggregateProcessor(keys, aggregates, retractable, ttl, kinds)
-    out = changes.groupBy(*keys).transformWithState(processor, schema, "Append", "None")
+    made = AggregateProcessor if retractable else PartialAggregateProcessor
+    processor = made(keys, aggregates, retractable, ttl, kinds)
+    processor.inputs = {name: types[column].typeName() if column else "" for name, (_, column) in aggregates.items()}
+    if not retractable:
+        changes = _partials(changes, keys, aggregates)
+    out = changes.groupBy(*keys).transformWithState(processor, schema, "Append", _time_mode(ttl))
     return out.drop("_g") if constant else out
 
 
@@ -206,35 +335,37 @@ def join_changes(left: DataFrame, right: DataFrame, left_keys: list[str], right_
     for i, (df, keys) in enumerate(((with_kind(left), left_keys), (with_kind(right), right_keys))):
         data = [c for c in df.columns if c != ROW_KIND]
         # without nulls left out, the text of a row tells its columns apart
-        text = F.to_json(F.struct(*data), {"ignoreNullFields": "false"})
+        text = F.to_json(F.struct(*data), _JSON)
         present = F.lit(True)
         for k in keys:
             present = present & F.col(k).isNotNull()
         named = [F.col(k).cast("string").alias(f"_k{j}") for j, k in enumerate(keys)]
         sides.append(df.where(present).select(*named, F.lit(i).alias("_side"), text.alias("_row"), F.col(ROW_KIND)))
     both = sides[0].unionByName(sides[1])
-    out = both.groupBy(*(f"_k{j}" for j in range(len(left_keys)))).transformWithState(JoinProcessor(ttl), StructType.fromDDL(f"_l string, _r string, {ROW_KIND} string"), "Append", "None")
+    out = both.groupBy(*(f"_k{j}" for j in range(len(left_keys)))).transformWithState(JoinProcessor(ttl), StructType.fromDDL(f"_l string, _r string, {ROW_KIND} string"), "Append", _time_mode(*ttl))
     schemas = [StructType([f for f in df.schema if f.name != ROW_KIND]) for df in (left, right)]
-    out = out.select(F.from_json("_l", schemas[0]).alias("_l"), F.from_json("_r", schemas[1]).alias("_r"), ROW_KIND)
+    out = out.select(F.from_json("_l", schemas[0], _JSON).alias("_l"), F.from_json("_r", schemas[1], _JSON).alias("_r"), ROW_KIND)
     return out.select("_l.*", "_r.*", ROW_KIND)
 
 
 class TopNProcessor(StatefulProcessor):
-    """The n first rows by one key; ties by arrival.  Insert-only input keeps n rows, others all."""
+    """The n first rows by one or more keys; ties by arrival.  Insert-only input keeps n rows, others all."""
 
-    def __init__(self, n: int, order: str, descending: bool, nulls_first: bool, retractable: bool, data: list[str]):
-        self.n, self.order, self.descending, self.nulls_first, self.retractable, self.data = n, order, descending, nulls_first, retractable, data
+    def __init__(self, n: int, orders: list[tuple[str, bool, bool]], retractable: bool, data: list[str]):
+        self.n, self.retractable = n, retractable
+        self.orders = [(data.index(c), down, nulls_first) for c, down, nulls_first in orders]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getMapState("rows", "seq bigint", "r string")
         self.next = handle.getValueState("next", "seq bigint")
 
     def _rank(self, item: tuple[int, list]) -> tuple:
-        value = item[1][self.data.index(self.order)]
-        if value is None:
-            return (0 if self.nulls_first else 2, 0, item[0])
-        place = _order(value)
-        return (1, _Reversed(place) if self.descending else place, item[0])
+        out: list[Any] = []
+        for at, down, nulls_first in self.orders:
+            value = item[1][at]
+            place = (0 if nulls_first else 2, 0) if value is None else (1, _Reversed(_order(value)) if down else _order(value))
+            out.append(place)
+        return (*out, item[0])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held = {seq: json.loads(r) for (seq,), (r,) in self.rows.iterator()}
@@ -285,15 +416,44 @@ class _Reversed:
         return isinstance(other, _Reversed) and other.value == self.value
 
 
-def top_n_changes(changes: DataFrame, n: int, order: str, descending: bool = False, nulls_first: bool | None = None, retractable: bool = True) -> DataFrame:
-    """The changelog of ``ORDER BY order LIMIT n`` over a changelog."""
+def _first_by(df: DataFrame, n: int, orders: list[tuple[str, bool, bool]]) -> DataFrame:
+    """The n first rows of each Arrow batch, in their order: all that insert-only input can add to the n first of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows > n:
+                columns, keys = {"at": pa.array(range(batch.num_rows))}, []
+                for i, (c, down, nulls_first) in enumerate(orders):
+                    x = batch.column(c)
+                    nan = pc.fill_null(pc.is_nan(x), False) if pa.types.is_floating(x.type) else None
+                    columns[f"null{i}"] = pc.is_null(x).cast(pa.int8())
+                    columns[f"nan{i}"] = nan.cast(pa.int8()) if nan is not None else pa.array([0] * len(x), pa.int8())
+                    columns[f"key{i}"] = pc.if_else(nan, pa.scalar(None, x.type), x) if nan is not None else x
+                    way = "descending" if down else "ascending"
+                    keys += [(f"null{i}", "descending" if nulls_first else "ascending"), (f"nan{i}", way), (f"key{i}", way)]
+                best = pc.sort_indices(pa.table(columns), sort_keys=[*keys, ("at", "ascending")])[:n]
+                batch = batch.take(pc.take(best, pc.sort_indices(best)))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def top_n_changes(changes: DataFrame, n: int, order: str | list[tuple[str, bool, bool]], descending: bool = False, nulls_first: bool | None = None, retractable: bool = True) -> DataFrame:
+    """The changelog of ``ORDER BY order LIMIT n`` over a changelog; ``order`` is a column or a list of (column, descending, nulls first)."""
     changes = with_kind(changes)
     data = [c for c in changes.columns if c != ROW_KIND]
-    nulls_first = (not descending) if nulls_first is None else nulls_first
-    texts = changes.select(F.to_json(F.array(*(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in data))).alias("_cells"), ROW_KIND, F.lit(1).alias("_g"))
+    if isinstance(order, str):
+        order = [(order, descending, (not descending) if nulls_first is None else nulls_first)]
+    if not retractable and all(changes.schema[c].dataType.typeName() in _SORTED for c, _, _ in order):
+        changes = _first_by(changes, n, order)
+    texts = changes.select(F.to_json(F.array(*(F.to_json(F.struct(F.col(c).alias("v")), _JSON) for c in data))).alias("_cells"), ROW_KIND, F.lit(1).alias("_g"))
     row = F.concat(F.lit("["), F.array_join(F.transform(F.from_json("_cells", "array<string>"), lambda x: F.substring(x, F.lit(6), F.length(x) - 6)), ","), F.lit("]"))
     texts = texts.withColumn("_row", row)
-    out = texts.groupBy("_g").transformWithState(TopNProcessor(n, order, descending, nulls_first, retractable, data), StructType.fromDDL(f"_row string, {ROW_KIND} string"), "Append", "None")
+    out = texts.groupBy("_g").transformWithState(TopNProcessor(n, order, retractable, data), StructType.fromDDL(f"_row string, {ROW_KIND} string"), "Append", "None")
     schema = StructType([f for f in changes.schema if f.name != ROW_KIND])
     cells = F.from_json("_row", "array<string>")
     return out.select(*(F.get(cells, i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)), ROW_KIND)
+
+
+#: Types whose order in Arrow is that of the processor.
+_SORTED = {"byte", "short", "integer", "long", "float", "double", "timestamp", "timestamp_ntz", "date"}

@@ -212,4 +212,6 @@ class _Adapter(StatefulProcessor):
 def process_keyed(df: DataFrame, keys: list[str], function: KeyedProcessFunction, schema: StructType | str, time_mode: str = "None", order: str | None = None) -> DataFrame:
     """Runs a function over each key's rows; ``order`` sorts the rows of a key within a micro-batch."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if time_mode == "None" and any(d.ttl for d in function.states):
+        time_mode = "ProcessingTime"  # without it, state can't expire
     return df.groupBy(*keys).transformWithState(_Adapter(function, kind.names, time_mode, order), kind, "Append", time_mode)

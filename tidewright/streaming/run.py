@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +25,26 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _batches_with_input_only(stream: DataFrame) -> Iterator[None]:
+    """State that expires makes Spark ask for one more batch without end; a query that drains its input stops without them."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name, "true")
+    if "ProcessingTime" in stream._jdf.queryExecution().logical().toString():
+        conf.set(name, "false")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     """All that a stream yields for the input available now, written to the shared folder and read as a table."""
     spark = stream.sparkSession
     at = checkpoint_location(spark, "drain")
     if output_mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        with _batches_with_input_only(stream):
+            query = stream.writeStream.format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/data")
 
