@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding: ``doc_id, n_tokens, ids, decoded_sha256`` of every document of the mix; the last is the digest of the text decoded."""
     # fewer known words than alone, as the executors' memory still holds what the stages before have touched
-    return bpe.encode_ids(docs, tokenizer_path(), digest=True, memo_words=80_000)
+    return bpe.encode_ids(docs, tokenizer_path(), digest=True, memo_words=50_000)
 
 
 STAGES = [
