@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import bounded, col, cut, fresh, map_texts
@@ -262,12 +262,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     every = cut(_nodes(slim, n, bands, rows))
     nodes = every.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(nodes)
-    buckets = nodes.select("k", F.explode("bands").alias("bucket")).withColumn("lo", F.min("k").over(Window.partitionBy("bucket")))
-    groups = components(buckets.where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")))
+    # the smallest of a bucket is found by partial aggregates, and joined back: a hot bucket's rows need not meet in one task
+    buckets = nodes.select("k", F.explode("bands").alias("bucket"))
+    least = cut(buckets.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("bucket", "lo"))
+    groups = components(buckets.join(bounded(least), "bucket").where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")))
 
     members = cut(groups.join(nodes.drop("bands"), F.col("node") == F.col("k")).select("root", "k", "copies", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+    # only groups of several chunks are looked up, as all others are one
     sums = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    dealt = members.join(sums, "root").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
+    large = bounded(cut(sums.where("chunks > 1")))
+    dealt = members.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
     dealt = bounded(cut(dealt))
     found = slim.join(dealt, slim["doc_id"].eqNullSafe(dealt["rep_id"]) & (slim["th"] == dealt["rep_th"])).select("root", "k", "chunk", "chunks", "copies", "text")
     with_sets = map_texts(found, "text", lambda: lambda texts: [[gram_set(t, n).tobytes() for t in texts]], "grams binary", ["root", "k", "chunk", "chunks", "copies"])
@@ -278,9 +282,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     links = outcome.where("w > 0").groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("w"))
     roots = components(outcome.where("w = 0").select("a", "b")).select(F.col("node").alias("k"), "root")
-    info = nodes.select("k", "copies", "rep").join(roots, "k", "left").join(links, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    named = info.groupBy("root").agg(F.min("rep").alias("first"))
-    info = info.join(named, "root").select("k", "first", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
+    # the smallest row of each class of several nodes, written before it is joined back, so that a large class can be split
+    linked = cut(roots.join(nodes.select("k", "rep"), "k").select("k", "root", "rep"))
+    named = bounded(cut(linked.groupBy("root").agg(F.min("rep").alias("first"))))
+    firsts = linked.join(named, "root").select("k", "first")
+    info = nodes.select("k", "copies", "rep").join(firsts, "k", "left").join(links, "k", "left")
+    info = info.select("k", F.coalesce("first", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
     out = every.select("doc_id", "th", "k", "n").join(info, "k", "left")
     alone = F.col("first").isNull()
     return out.select("doc_id", "th", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.when(alone, F.col("th")).otherwise(F.col("first.th")).alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("n").alias("words"))
