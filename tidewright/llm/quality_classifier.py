@@ -1,8 +1,8 @@
 """Quality classifier by compression: how much better a text packs with a dictionary of good texts than with one of bad texts.
 
 Two zstandard dictionaries are built from labelled texts, one for each label.  A text is cut in pieces, every piece is packed
-with both dictionaries, and the difference of the summed sizes over their sum, with the sizes per byte, is
-turned into a probability by a logistic curve that is fitted on other labelled texts than those in the dictionaries.
+with both dictionaries, and the difference of the summed sizes for each byte of text is turned into a probability by a logistic
+curve that is fitted on other labelled texts than those in the dictionaries: the score depends on nothing else.
 
 Training rows are a bounded sample: the SAMPLE_ROWS smallest by hash of their id for each label, among labelled texts of at
 most SAMPLE_CHARS characters.  Scoring reads whole texts.
@@ -26,8 +26,8 @@ from tidewright.llm.common import col, map_texts
 #: Labelled texts of each label that the classifier is fitted on, and the longest text that is taken for it.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 #: Bytes of a dictionary, bytes of a piece of text, and the compression level.
-DICTIONARY_BYTES, PIECE_BYTES, LEVEL = 96 << 10, 2048, 3
-#: Bytes that are added to every text, as if packed to a quarter with either dictionary, so that short texts say little.
+DICTIONARY_BYTES, PIECE_BYTES, LEVEL = 96 << 10, 512, 3
+#: Bytes that are added to the size of every text, so that short texts say little.
 PRIOR_BYTES = 128
 
 
@@ -55,32 +55,35 @@ class _Packer:
             dictionary.precompute_compress(level=LEVEL)
             self.by_label.append(zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def features(self, text: str | None) -> list[float]:
+    def difference(self, text: str | None) -> float:
+        """Bytes that the dictionary of good texts saves against that of bad ones, for each byte of text."""
         raw = text.encode("utf-8", "surrogatepass") if text else b""
-        if not raw:
-            return [0.0, 0.25, 0.25]
         pieces = _pieces(raw)
         bad, good = (sum(len(c.compress(p)) for p in pieces) for c in self.by_label)
-        bad, good = bad + PRIOR_BYTES // 4, good + PRIOR_BYTES // 4
-        size = len(raw) + PRIOR_BYTES
-        return [(bad - good) / (bad + good), good / size, bad / size]
+        return (bad - good) / (len(raw) + PRIOR_BYTES)
 
 
-def _terms(x: np.ndarray) -> np.ndarray:
-    d, g, b = x[:, 0] * 5, x[:, 1], x[:, 2]
-    return np.stack([np.ones(len(x)), d, g, b, d * d, g * g, d * g], axis=1)
+def _terms(difference: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(difference)), difference * 20], axis=1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights of ``_terms`` by Newton's method; label 1 weighs ``share`` of all rows, as it does among all labels."""
-    t = _terms(x)
+def fit_logistic(difference: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Intercept and slope by Newton's method, steps halved until the loss falls; label 1 weighs ``share`` of all rows, as it does among all labels."""
+    t = _terms(difference)
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+
+    def loss(w: np.ndarray) -> float:
+        z = t @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge * (w @ w) / 2)
+
     w = np.zeros(t.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
         gradient = t.T @ (weight * (y - p)) - ridge * w
         hessian = (t * (weight * p * (1 - p))[:, None]).T @ t + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-8:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -97,10 +100,10 @@ class CompressionModel:
     def packer(self) -> _Packer:
         return _Packer(self.good, self.bad)
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
+    def scores(self, difference: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.full(len(features), self.constant)
-        return 1 / (1 + np.exp(-np.clip(_terms(features) @ self.weights, -30, 30)))
+            return np.full(len(difference), self.constant)
+        return 1 / (1 + np.exp(-np.clip(_terms(difference) @ self.weights, -30, 30)))
 
 
 def fit(rows: list[tuple[str, int]], share: float | None = None) -> CompressionModel:
@@ -114,7 +117,7 @@ def fit(rows: list[tuple[str, int]], share: float | None = None) -> CompressionM
         return CompressionModel(b"", b"", None, len(by_label[1]) / n if n else 0.5)
     bad, good = (build_dictionary([t.encode("utf-8", "surrogatepass") for t in texts[::2]]) for texts in by_label)
     packer = _Packer(good, bad)
-    x = np.array([packer.features(t) for texts in by_label for t in texts[1::2]])
+    x = np.array([packer.difference(t) for texts in by_label for t in texts[1::2]])
     y = np.array([label for label in (0, 1) for _ in by_label[label][1::2]], float)
     share = y.mean() if share is None else min(max(share, 0.01), 0.99)
     return CompressionModel(good, bad, fit_logistic(x, y, share))
@@ -156,9 +159,9 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
         packer = model.packer() if model.weights is not None else None
 
         def run(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-            x = np.array([packer.features(t) if packer else [0.0, 0.25, 0.25] for t in texts]).reshape(-1, 3)
+            x = np.array([packer.difference(t) if packer else 0.0 for t in texts], float)
             s = model.scores(x)
-            return s, (s >= 0.5).astype("int32"), x[:, 0]
+            return s, (s >= 0.5).astype("int32"), x
 
         return run
 
