@@ -287,7 +287,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     named = bounded(cut(linked.groupBy("root").agg(F.min("rep").alias("first"))))
     firsts = linked.join(named, "root").select("k", "first")
     info = nodes.select("k", "copies", "rep").join(firsts, "k", "left").join(links, "k", "left")
-    info = info.select("k", F.coalesce("first", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
+    info = info.where("copies > 1 OR first IS NOT NULL OR w IS NOT NULL").select("k", F.coalesce("first", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
+    # written before the join, so that the rows of a text with very many copies can be split
+    info = bounded(cut(info))
     out = every.select("doc_id", "th", "k", "n").join(info, "k", "left")
     alone = F.col("first").isNull()
     return out.select("doc_id", "th", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.when(alone, F.col("th")).otherwise(F.col("first.th")).alias("class_th"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("n").alias("words"))
