@@ -585,6 +585,10 @@ def test_quality_classifier(spark, words, docs, empty):
     assert sum(r["predicted"] == (r["doc_id"] % 3 > 0) for r in held) >= 0.95 * len(held)
     model = quality_classifier.train(data, marks)
     assert quality_classifier.score(docs, model).count() == docs.count() and quality_classifier.score(empty, model).count() == 0
+    ordered = sorted((r["difference"], r["score"]) for r in out)
+    assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:], strict=False))  # the score rises with the difference
+    none_said = quality_classifier.score(docs.where("text IS NULL OR text = ''"), model).collect()
+    assert none_said and {r["score"] for r in none_said} == {float(model.scores(np.zeros(1))[0])}
     none = quality_classifier.train(empty, marks.where("false"))
     assert {r["score"] for r in quality_classifier.score(docs, none).collect()} == {0.5}
 
@@ -603,7 +607,7 @@ def test_license_notices_side_by_side():
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources", "BPE encoding"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources", "BPE encoding and decoding"]
     sf = "/root/testdata/sf0.001"
     frame = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r["doc_id"]: r for r in frame.collect()}
