@@ -46,7 +46,7 @@ STAGES = [
     ("n-gram Jaccard join", keep_one_of_each_class),
     ("secret scans", mask_secrets),
     ("mixing sources", mix_sources),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: SQL can't express the field of the secret scan nor BPE; the tests compare with a brute-force version.
